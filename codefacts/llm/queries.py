@@ -5,9 +5,8 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import table
 
 
 def vocabulary_path() -> str:
@@ -47,11 +46,27 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_rules, learn
+
+    docs = table(spark, sf_dir, "documents")
+    return apply_rules(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hex_fingerprint, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_fingerprint("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLE = {
