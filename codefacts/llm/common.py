@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space that separates words: space and the control characters 9 to 13.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -42,3 +44,29 @@ def drop_cut(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class small_batches:
+    """While open, Arrow batches hold few rows: for plans whose rows are blobs of up to a few MB."""
+
+    KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def __init__(self, spark: SparkSession, rows: int = 32):
+        self.spark, self.rows = spark, rows
+
+    def __enter__(self):
+        self.before = self.spark.conf.get(self.KEY)
+        self.spark.conf.set(self.KEY, str(self.rows))
+
+    def __exit__(self, *_):
+        self.spark.conf.set(self.KEY, self.before)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def input_bytes(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text)).cast("long")), F.lit(0))).first()[0]

@@ -34,6 +34,12 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(extra))).drop("fault")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -63,6 +69,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
     "op7_quality_rules": op7_quality_rules,
