@@ -22,11 +22,15 @@ def scratch(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+#: For tables whose rows are large blobs: Parquet's writer would otherwise hold 100 rows before it looks at their size.
+BLOBS = {"parquet.block.size": str(1 << 23), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8", "parquet.enable.dictionary": "false", "compression": "zstd"}
+
+
+def cut(df: DataFrame, name: str = "cut", blobs: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**BLOBS if blobs else {}).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._cut_path = path
     return back
@@ -47,19 +51,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class small_batches:
-    """While open, Arrow batches hold few rows: for plans whose rows are blobs of up to a few MB."""
+    """While open, Arrow batches and Parquet's read batches hold few rows: for plans whose rows are blobs of up to a few MB."""
 
-    KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    KEYS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 
-    def __init__(self, spark: SparkSession, rows: int = 32):
+    def __init__(self, spark: SparkSession, rows: int = 16):
         self.spark, self.rows = spark, rows
 
     def __enter__(self):
-        self.before = self.spark.conf.get(self.KEY)
-        self.spark.conf.set(self.KEY, str(self.rows))
+        self.before = [self.spark.conf.get(k) for k in self.KEYS]
+        for k in self.KEYS:
+            self.spark.conf.set(k, str(self.rows))
 
     def __exit__(self, *_):
-        self.spark.conf.set(self.KEY, self.before)
+        for k, v in zip(self.KEYS, self.before, strict=True):
+            self.spark.conf.set(k, v)
 
 
 def release(spark: SparkSession) -> None:

@@ -35,7 +35,7 @@ from .common import cut, drop_cut, input_bytes, release, small_batches
 SPAN, NAMED = 50, 30
 #: A perfect difference set: every remainder modulo 21 is the difference of two of these.
 MODULUS, COVER = 21, (3, 6, 7, 12, 14)
-CHUNK, BUCKET_BYTES, NO_ID = 1 << 21, 1 << 24, (1 << 63) - 1
+CHUNK, BUCKET_BYTES, NO_ID = 1 << 20, 1 << 24, (1 << 63) - 1
 CHUNK_SCHEMA = "chunk long, docs binary, starts binary, lens binary, data binary"
 CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("lens", pa.binary()), ("data", pa.binary())])
 
@@ -317,16 +317,16 @@ def repeated_runs(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK)
     least = whole.groupBy("md5", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
     copies = cut(whole.join(least, ["md5", "n"]).where("doc_id > least").select("doc_id").distinct(), "dedup-copies")
     with small_batches(spark):
-        chunks = cut(pack(d.where(F.octet_length("data") >= SPAN), chunk_bytes), "dedup-chunks")
-        answers = cut(answer(emit_names(chunks, buckets, True), True, tasks), "dedup-first")
+        chunks = cut(pack(d.where(F.octet_length("data") >= SPAN), chunk_bytes), "dedup-chunks", blobs=True)
+        answers = cut(answer(emit_names(chunks, buckets, True), True, tasks), "dedup-first", blobs=True)
         release(spark)
         pieces = repeated_pieces(chunks, answers, buckets, tasks)
-        reduced = cut(pack(pieces.join(copies, "doc_id", "left_anti"), chunk_bytes), "dedup-reduced")
+        reduced = cut(pack(pieces.join(copies, "doc_id", "left_anti"), chunk_bytes), "dedup-reduced", blobs=True)
         drop_cut(chunks), drop_cut(answers)
         release(spark)
-        answers = cut(answer(emit_names(reduced, buckets, False), False, tasks), "dedup-second")
+        answers = cut(answer(emit_names(reduced, buckets, False), False, tasks), "dedup-second", blobs=True)
         release(spark)
-        runs = cut(removed_starts(reduced, answers, buckets, tasks), "dedup-runs")
+        runs = cut(removed_starts(reduced, answers, buckets, tasks), "dedup-runs", blobs=True)
         drop_cut(reduced), drop_cut(answers)
         release(spark)
     parts = runs.groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
