@@ -24,17 +24,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELLED, LANDMARKS, FOLDS = 20_000, 96, 5
-DECAY, MAX_SKIP, NEAR = 0.6, 3, 0.35
+DECAY, MAX_SKIP, NEAR, SAME = 0.6, 3, 0.55, 0.95
 WIDTH, BITS, CACHE_WORDS = 32, 18, 300_000
 #: Skips before the second and the third letter.
 SKIPS = tuple((a, b) for a in range(MAX_SKIP + 1) for b in range(MAX_SKIP + 1 - a))
-EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+EDGE, INSIDE = re.compile(r"^[\W_]+|[\W_]+$"), re.compile(r"[\W_]+")
 
 
 def pieces_of(word: str) -> list[str]:
+    """A word with its borders marked, in pieces if it is long; with marks inside, also the word of its letters alone."""
     word = EDGE.sub("", word)
     if len(word) < 3:
         return []
+    plain = INSIDE.sub("", word)
+    return bordered(word) + (bordered(plain) if plain != word and len(plain) > 2 else [])
+
+
+def bordered(word: str) -> list[str]:
     if len(word) <= WIDTH - 2:
         return [f"^{word}$"]
     step = (WIDTH - 2) // 2
@@ -119,7 +125,7 @@ class Reader:
             for i, s in enumerate(sets):
                 near = [r for r in map(self.cache.__getitem__, s) if r is not None]
                 if near:
-                    out[k + i] = np.maximum(np.max(near, axis=0) - NEAR, 0) / (1 - NEAR)
+                    out[k + i] = np.max(near, axis=0)
         return out
 
     @staticmethod
@@ -138,8 +144,16 @@ def in_fold(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def near(k: np.ndarray) -> np.ndarray:
+    """Kernel values from NEAR on, on the scale from 0 to 1."""
+    return np.clip((k - NEAR) / (1 - NEAR), 0, 1)
+
+
 class Machine:
+    """The support vector machine on whitened kernel rows, and on how closely the nearest word equals its landmark."""
+
     def __init__(self, x: np.ndarray, y: np.ndarray, own: np.ndarray, ridge: float = 1.0):
+        own = near(own)
         values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-3 * np.eye(len(own)))
         self.whiten = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
         z, sign = self.map(x), np.where(y > 0, 1.0, -1.0)
@@ -162,7 +176,7 @@ class Machine:
         self.curve = curve
 
     def map(self, x: np.ndarray) -> np.ndarray:
-        return np.hstack([x @ self.whiten, np.ones((len(x), 1))])
+        return np.hstack([near(x) @ self.whiten, np.clip((x - SAME) / (1 - SAME), 0, 1), np.ones((len(x), 1))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * (self.map(x) @ self.weights) + self.curve[1], -30, 30)))
@@ -195,8 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
     got = rows.mapInArrow(run, "y int, x array<float>").orderBy("y", "x").collect()
     x, y = np.array([r["x"] for r in got], np.float64), np.array([r["y"] for r in got], np.float64)
-    own = np.maximum(kernel.own - NEAR, 0) / (1 - NEAR)
-    return kernel, Machine(x, y, own.astype(np.float64))
+    return kernel, Machine(x, y, kernel.own.astype(np.float64))
 
 
 def score(docs: DataFrame, model: tuple[Kernel, Machine] | None) -> DataFrame:
