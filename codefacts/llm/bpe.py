@@ -32,7 +32,9 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 250_000
+from .common import and_fields
+
+CACHE_WORDS, ROWS = 250_000, 512
 END = "</w>"
 MAGIC = b"ACYC0001"
 
@@ -271,21 +273,24 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", into: str
 
     keep = [c for c in docs.columns if c != into]
     given = docs.select(*keep, F.col(text).alias("__text"))
-    return given.mapInArrow(run, docs.select(*keep).schema.add(into, "binary", False))
+    return given.mapInArrow(run, and_fields(docs.select(*keep).schema, f"{into} binary"))
 
 
-def digests(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
-    """Per document: doc_id, number of ids, digest of the ids, digest of the text decoded from the ids."""
+def digests(docs: DataFrame, vocabulary_path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per document: doc_id, number of ids, digest of the ids, digest of the text decoded from the ids, and the ids if wanted."""
     name = ship_lexicon(docs.sparkSession, vocabulary_path)
     given = docs.select("doc_id", F.col(text).alias("text"))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches):
-        for b in batches:
-            c, rows = coder(vocabulary_path, name), []
-            for t in b.column("text").to_pylist():
-                ids = c.encode(t) if t else b""
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()))
-            n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for whole in batches:
+            for b in (whole.slice(k, ROWS) for k in range(0, whole.num_rows, ROWS)):
+                c, rows = coder(vocabulary_path, name), []
+                for t in b.column("text").to_pylist():
+                    ids = c.encode(t) if t else b""
+                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest(), ids))
+                n, a, d, i = zip(*rows, strict=True)
+                cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(i, pa.binary())] * with_ids, names=names)
+
+    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)

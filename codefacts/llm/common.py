@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space that separates words: space and the control characters 9 to 13.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -50,6 +51,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def and_fields(schema: StructType, ddl: str) -> StructType:
+    """A new schema: schema's fields, then those of ddl. (StructType.add would change the frame's own schema.)"""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 class small_batches:
     """While open, Arrow batches and Parquet's read batches hold few rows: for plans whose rows are blobs of up to a few MB."""
 

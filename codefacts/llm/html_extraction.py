@@ -17,6 +17,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import and_fields
+
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
     re.S,
@@ -202,7 +204,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", into: str = "text")
     """
     keep = [c for c in pages.columns if c not in (html, into, "n_chars")]
     given = pages.select(*keep, html)
-    schema = given.select(*keep).schema.add(into, "string", False).add("n_chars", "long", False)
+    schema = and_fields(given.select(*keep).schema, f"{into} string, n_chars long")
 
     def run(batches):
         for b in batches:

@@ -89,7 +89,7 @@ def schedule_start(rank):
 
 
 def training_order(mixed: DataFrame, cap: int = 2) -> DataFrame:
-    """One row per copy of a document that the mix reads: doc_id, copy, words, position in [0, 1], range-sorted by position.
+    """One row per copy of a document that the mix reads: doc_id, size, copy, words, position in [0, 1].
 
     A copy is read if it starts before its source's goal; a copy of a document without words is read once.
     """
@@ -98,5 +98,15 @@ def training_order(mixed: DataFrame, cap: int = 2) -> DataFrame:
     copies = copies.withColumn("at", at).where((F.col("at") < F.col("goal")) | ((F.col("size") == 0) & (F.col("copy") == 0)))
     part = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("at").cast("double"), F.col("goal").cast("double")), F.lit(0.0)))
     words = F.greatest(F.lit(0), F.least("size", F.col("goal") - F.col("at")))
-    placed = copies.select("doc_id", "copy", words.alias("words"), curriculum_time(part, schedule_start(F.col("rank"))).alias("position"))
-    return placed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "copy")
+    return copies.select("doc_id", "size", "copy", words.alias("words"), curriculum_time(part, schedule_start(F.col("rank"))).alias("position"))
+
+
+def in_training_order(docs: DataFrame, order: DataFrame, text: str = "text") -> DataFrame:
+    """The documents' rows once for each copy in order, range-sorted by position. Rows that share a doc_id are told apart
+    by their size, then by their turn."""
+    turn = lambda extra: F.row_number().over(Window.partitionBy("doc_id", "size", *extra).orderBy("position" if extra else F.xxhash64(text)))
+    a = docs.withColumn("size", word_count(F.col(text))) if "size" not in docs.columns else docs
+    a = a.withColumn("__nth", turn(()))
+    b = order.withColumn("__n", turn(("copy",))).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "__n", F.col("position").alias("__at"), F.col("copy").alias("__copy"))
+    both = a.join(b, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("size") == F.col("__size")) & (F.col("__nth") == F.col("__n")))
+    return both.repartitionByRange("__at", "__id").sortWithinPartitions("__at", "__id", "__copy").select(*docs.columns)

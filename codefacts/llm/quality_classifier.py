@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import and_fields, cut
+
 MAX_LABELLED = 20_000
 STRENGTH = (1.0, 1e4)
 SYMBOLS, MARKS, DIGITS, UPPER = b"#*$%&|<>{}[]=_~^@\\/", b"!?", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -86,7 +88,7 @@ def evidence(docs: DataFrame, model: Model | None) -> DataFrame:
             logit = model.logit(np.array([features(t) for t in texts]).reshape(-1, len(NAMES))) if model else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(logit, pa.float64())], names=[*keep, "__logit"])
 
-    return given.mapInArrow(run, docs.schema.add("__logit", "double"))
+    return given.mapInArrow(run, and_fields(docs.schema, "__logit double"))
 
 
 def strength(rates: DataFrame, low: float = STRENGTH[0], high: float = STRENGTH[1]) -> float:
@@ -111,8 +113,6 @@ def posterior(docs: DataFrame, model: Model | None, host: str = "source", path:
     seen = evidence(docs, model)
     sites = evidence(docs.select(F.col(host).alias("h"), F.col(path).alias("p"), "text"), model).select("h", "p", (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__logit")))).alias("good"))
     paths = sites.groupBy("h", "p").agg(F.count("*").alias("n"), F.round(F.sum("good"), 6).alias("total"))
-    from .common import cut
-
     paths = cut(paths, "quality-sites")
     hosts = paths.groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     n, total = hosts.agg(F.sum("n"), F.sum("total")).first()

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, input_bytes, release, small_batches
+from .common import and_fields, cut, drop_cut, input_bytes, release, small_batches
 
 SPAN, NAMED = 50, 30
 #: A perfect difference set: every remainder modulo 21 is the difference of two of these.
@@ -352,9 +352,7 @@ def dedup(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK) -> Data
     runs = repeated_runs(docs, text, chunk_bytes)
     keep = list(docs.columns)
     given = docs.join(runs, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("k_id"), "left").select(*keep, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("__data"), "copy", "runs")
-    schema = docs.schema
-    for name, kind in (("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
-        schema = schema.add(name, kind)
+    schema = and_fields(docs.schema, "kept binary, n_bytes long, n_removed long, n_spans long")
 
     def run(batches):
         for b in batches:
@@ -369,3 +367,21 @@ def dedup(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK) -> Data
 def digests(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
     narrow = docs.select("doc_id", F.col(text).alias("text"))
     return dedup(narrow, chunk_bytes=chunk_bytes).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the remaining bytes as text (a character that is cut goes whole) and n_chars, if there, to match."""
+    keep = list(docs.columns)
+    left = dedup(docs, text).select("*", F.col("kept").alias("__kept"))
+    left = left.select(*keep, "__kept")
+    schema = docs.schema
+
+    def run(batches):
+        for b in batches:
+            texts = [None if t is None else k.decode("utf-8", "ignore") for t, k in zip(b.column(text).to_pylist(), b.column("__kept").to_pylist(), strict=True)]
+            new = {text: pa.array(texts, pa.string())}
+            if "n_chars" in keep:
+                new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], b.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in keep], names=keep)
+
+    return left.mapInArrow(run, schema)
