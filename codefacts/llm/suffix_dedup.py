@@ -102,8 +102,7 @@ def sampled(at: np.ndarray, piece: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 def first_names(docs, lens, data, buckets: int):
-    """The sampled positions of a chunk, with their names and buckets. Few of a piece's ends have no sampled position:
-    strings shorter than SPAN don't count, so none is needed there."""
+    """The sampled positions of a chunk, the pieces they stand in, their names and buckets."""
     at, piece = positions(lens, NAMED)
     take = sampled(at, piece, lens)
     at, piece = at[take], piece[take]
@@ -128,12 +127,13 @@ def arrays(row) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, bytes]:
     return chunk, np.frombuffer(docs, np.int64), np.frombuffer(starts, np.int64), np.frombuffer(lens, np.int64), data
 
 
-NAMES_SCHEMA = "bucket int, chunk long, names binary, low binary"
+NAMES_SCHEMA = "bucket int, chunk long, names binary, low binary, ids binary"
 
 
 def emit_names(chunks: DataFrame, buckets: int, first: bool) -> DataFrame:
-    """For each chunk and bucket the chunk's names, each once; with the second names, the smallest doc of each."""
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("names", pa.binary()), ("low", pa.binary())])
+    """For each chunk and bucket the chunk's names, each once; with the second names, the smallest doc of each (low: its
+    place in ids, the chunk's documents)."""
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("names", pa.binary()), ("low", pa.binary()), ("ids", pa.binary())])
 
     def run(batches):
         for b in batches:
@@ -146,12 +146,14 @@ def emit_names(chunks: DataFrame, buckets: int, first: bool) -> DataFrame:
                     at, piece = positions(lens, SPAN)
                     name, deal = names_at(data, at, SPAN)
                     deal = deal % np.uint32(buckets)
-                rows = by_bucket(deal, name, docs[piece])
+                ids, place = np.unique(docs, return_inverse=True)
+                small = np.uint16 if len(ids) < 1 << 16 else np.uint32
+                rows = by_bucket(deal, name, place[piece])
                 if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([b"" if first else r[2].tobytes() for r in rows], pa.binary())],
-                        schema=schema,
-                    )
+                    low = [b"" if first else r[2].astype(small).tobytes() for r in rows]
+                    cols = [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64())]
+                    blobs = [[r[1].tobytes() for r in rows], low, [b"" if first else ids.tobytes()] * len(rows)]
+                    yield pa.RecordBatch.from_arrays(cols + [pa.array(x, pa.binary()) for x in blobs], schema=schema)
 
     return chunks.mapInArrow(run, NAMES_SCHEMA)
 
@@ -173,7 +175,8 @@ def answer(names: DataFrame, first: bool, tasks: int) -> DataFrame:
         if first:
             mark[order] = np.diff(np.append(start, len(n)))[group] > 1
         else:
-            low = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
+            place = (np.frombuffer(r[3], np.uint16 if len(r[3]) == 2 * len(p) else np.uint32) for r, p in zip(rows, parts, strict=True))
+            low = np.concatenate([np.frombuffer(r[4], np.int64)[x] for r, x in zip(rows, place, strict=True)])
             least = np.minimum.reduceat(low[order], start)[group]
             mark[order] = least < low[order]
         ends = np.cumsum([len(p) for p in parts])
@@ -323,6 +326,7 @@ def repeated_runs(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK)
         pieces = repeated_pieces(chunks, answers, buckets, tasks)
         reduced = cut(pack(pieces.join(copies, "doc_id", "left_anti"), chunk_bytes), "dedup-reduced", blobs=True)
         drop_cut(chunks), drop_cut(answers)
+        del chunks, pieces, answers
         release(spark)
         answers = cut(answer(emit_names(reduced, buckets, False), False, tasks), "dedup-second", blobs=True)
         release(spark)
