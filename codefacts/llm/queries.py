@@ -52,6 +52,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nn_descent import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_rules, learn
 
@@ -86,6 +92,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
+    "op6_nn_descent": op6_nn_descent,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
