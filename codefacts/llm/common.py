@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,8 +77,10 @@ class small_batches:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are done: it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may have held more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def input_bytes(docs: DataFrame, text: str = "text") -> int:
