@@ -2,11 +2,11 @@
 
 The suffix order is needed only as far as its first SPAN bytes, so the difference-cover construction stops there:
 
-1. Sample. Suffixes at positions whose remainder modulo 21 lies in a difference cover of five residues are sampled. Any two
-   equal 50-byte strings have, at one shift below 21, a sampled position in both; the 30 bytes from there are equal too.
-2. Sort sampled triples. Each sampled suffix is named by its first 30 bytes (three words of ten bytes, reduced to a hash);
+1. Sample. Suffixes at positions whose remainder modulo 13 lies in a difference cover of four residues are sampled. Any two
+   equal 50-byte strings have, at one shift below 13, a sampled position in both; the 38 bytes from there are equal too.
+2. Sort sampled triples. Each sampled suffix is named by its first 38 bytes, words of eight bytes reduced to a hash;
    names are dealt to buckets and sorted there, and adjacent equal ones from two documents are marked.
-3. Recurse and merge. Positions from which no marked name can be reached by a shift below 21 are unique and need no
+3. Recurse and merge. Positions from which no marked name can be reached by a shift below 13 are unique and need no
    order. The remaining suffixes, sampled or not, form the reduced text; they are named by 50 bytes and sorted in buckets.
 4. Compare adjacent prefixes. Suffixes that stand together under one name share their first 50 bytes; each one whose
    document isn't the smallest of its group starts a string that goes.
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import and_fields, cut, drop_cut, input_bytes, release, small_batches
 
-SPAN, NAMED = 50, 30
-#: A perfect difference set: every remainder modulo 21 is the difference of two of these.
-MODULUS, COVER = 21, (3, 6, 7, 12, 14)
+SPAN, NAMED = 50, 38
+#: A perfect difference set: every remainder modulo 13 is the difference of two of these.
+MODULUS, COVER = 13, (0, 1, 3, 9)
 CHUNK, BUCKET_BYTES, NO_ID = 1 << 20, 1 << 24, (1 << 63) - 1
 CHUNK_SCHEMA = "chunk long, docs binary, starts binary, lens binary, data binary"
 CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("lens", pa.binary()), ("data", pa.binary())])
