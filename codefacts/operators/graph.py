@@ -72,3 +72,102 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(start, node, hops): every node each start reaches, itself included, with the fewest edges. starts (start).
+
+    Semi-naive: a round joins only the pairs found in the one before, and pairs already known are dropped by an anti join.
+    """
+    e = edges.select("src", "dst").distinct()
+    known = materialize(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct())
+    front, parts = known, [known]
+    for hop in range(1, max_rounds + 1):
+        step = front.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        front = materialize(step.join(known.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        if front.isEmpty():
+            return known
+        parts.append(front)
+        known = known.unionByName(front)
+        if hop % 10 == 0:
+            known = materialize(known)
+    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+
+
+def must_pass(edges: DataFrame, entry, exit_) -> DataFrame:
+    """(node): nodes other than the entry without which the exit can't be reached from the entry.
+
+    Entry-to-exit paths live between forward and backward reach. A node is on all of them when no path goes round it: one
+    run over (avoided, node) pairs tests all nodes at once.
+    """
+    start = edges.sparkSession.createDataFrame([(entry,)], edges.select(F.col("src").alias("start")).schema)
+    inside = reachable(edges, start).select("node")
+    e = edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst").distinct()
+    e = materialize(e)
+    avoided = inside.where(F.col("node") != F.lit(entry)).select(F.col("node").alias("avoid"))
+    known = materialize(avoided.select("avoid", F.lit(entry).alias("node")))
+    front = known
+    while not front.isEmpty():
+        step = front.join(e, F.col("node") == F.col("src")).where("dst <> avoid").select("avoid", F.col("dst").alias("node")).distinct()
+        front = materialize(step.join(known, ["avoid", "node"], "left_anti"))
+        known = known.unionByName(front)
+    free = known.where(F.col("node") == F.lit(exit_)).select("avoid")
+    hit = inside.where(F.col("node") == F.lit(exit_)).isEmpty()
+    found = avoided.join(free, "avoid", "left_anti").select(F.col("avoid").alias("node"))
+    return found.where(F.lit(not hit))
+
+
+def dominators(edges: DataFrame, entry, max_rounds: int = 100) -> DataFrame:
+    """(node, dominator): strict dominators of every node that the entry reaches.
+
+    A node's dominators are itself and what all its predecessors share; sets only shrink, so rounds end. One row a node.
+    """
+    start = edges.sparkSession.createDataFrame([(entry,)], edges.select(F.col("src").alias("start")).schema)
+    inside = materialize(reachable(edges, start).select("node"))
+    e = materialize(edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").where((F.col("src") != F.col("dst")) & (F.col("dst") != F.lit(entry))).select("src", "dst").distinct())
+    root = inside.where(F.col("node") == F.lit(entry)).select("node", F.array("node").alias("doms"))
+    states = materialize(root)
+    for _ in range(max_rounds):
+        sent = e.join(states, F.col("src") == F.col("node")).groupBy("dst").agg(F.collect_list("doms").alias("sets"))
+        shared = F.aggregate(F.slice("sets", 2, F.size("sets")), F.element_at("sets", 1), lambda a, b: F.array_intersect(a, b))
+        new = materialize(root.unionByName(sent.select(F.col("dst").alias("node"), F.array_sort(F.array_union(shared, F.array("dst"))).alias("doms"))))
+        same = new.exceptAll(states).isEmpty() and states.exceptAll(new).isEmpty()
+        states = new
+        if same:
+            return states.select("node", F.explode("doms").alias("dominator")).where("node <> dominator")
+    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+
+
+def spread(edges: DataFrame, seeds: DataFrame, max_rounds: int = 20) -> DataFrame:
+    """(node): seeds and the nodes with an edge to one found before, for at most max_rounds rounds (callers of factories)."""
+    known = materialize(seeds.select("node").distinct())
+    front = known
+    for _ in range(max_rounds):
+        step = edges.join(front, F.col("dst") == F.col("node"), "left_semi").select(F.col("src").alias("node")).distinct()
+        front = materialize(step.join(known, "node", "left_anti"))
+        if front.isEmpty():
+            break
+        known = known.unionByName(front)
+    return known
+
+
+def lattice_states(edges: DataFrame, effects: DataFrame, entry, join: str = "may", max_rounds: int = 100) -> DataFrame:
+    """(block, name, state): forward data-flow to a fixed point. effects (block, name, sets): 1 sets the fact, 0 clears it.
+
+    `may` joins by maximum (any path), `must` by minimum over the predecessors reached (all paths). States are those
+    at a block's start.
+    """
+    names = effects.select("name").distinct()
+    e = materialize(edges.select("src", "dst").distinct())
+    start = materialize(names.select(F.lit(entry).alias("block"), "name", F.lit(0).alias("state")))
+    states = start
+    pick = F.max if join == "may" else F.min
+    for _ in range(max_rounds):
+        out = states.join(effects, ["block", "name"], "left").select("block", "name", F.coalesce("sets", "state").alias("state"))
+        sent = out.join(e, F.col("block") == F.col("src")).select(F.col("dst").alias("block"), "name", "state")
+        new = materialize(sent.unionByName(start).groupBy("block", "name").agg(pick("state").alias("state")))
+        same = new.exceptAll(states).isEmpty() and states.exceptAll(new).isEmpty()
+        states = new
+        if same:
+            return states
+    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
