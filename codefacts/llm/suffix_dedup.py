@@ -35,7 +35,7 @@ from .common import and_fields, cut, drop_cut, input_bytes, release, small_batch
 SPAN, NAMED = 50, 38
 #: A perfect difference set: every remainder modulo 13 is the difference of two of these.
 MODULUS, COVER = 13, (0, 1, 3, 9)
-CHUNK, BUCKET_BYTES, NO_ID = 1 << 20, 1 << 24, (1 << 63) - 1
+CHUNK, BUCKET_BYTES, NO_ID = 1 << 19, 1 << 22, (1 << 63) - 1
 CHUNK_SCHEMA = "chunk long, docs binary, starts binary, lens binary, data binary"
 CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("lens", pa.binary()), ("data", pa.binary())])
 
