@@ -272,7 +272,7 @@ def repeated_pieces(chunks: DataFrame, answers: DataFrame, buckets: int, tasks:
 
 
 def removed_starts(chunks: DataFrame, answers: DataFrame, buckets: int, tasks: int) -> DataFrame:
-    """(doc_id, runs): packed pairs [from, to) that go, of one chunk's pieces of the document."""
+    """(doc_id, runs): packed pairs [from, to) that go, for each piece of a document."""
     schema = pa.schema([("doc_id", pa.int64()), ("runs", pa.binary())])
 
     def run(batches):
@@ -286,7 +286,7 @@ def removed_starts(chunks: DataFrame, answers: DataFrame, buckets: int, tasks: i
                 continue
             first = np.cumsum(lens) - lens
             own = at - first[piece] + starts[piece]
-            edges = np.append(np.flatnonzero(np.append(True, docs[piece][1:] != docs[piece][:-1])), len(at))
+            edges = np.append(np.flatnonzero(np.append(True, piece[1:] != piece[:-1])), len(at))
             rows = [(int(docs[piece[x]]), np.array(covered(own[x:y], SPAN), np.int64).tobytes()) for x, y in zip(edges[:-1], edges[1:], strict=True)]
             d, r = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(r, pa.binary())], schema=schema)
