@@ -20,6 +20,7 @@ import hashlib
 import json
 import mmap
 import os
+import re
 import struct
 import tempfile
 import unicodedata
@@ -36,6 +37,7 @@ from .common import and_fields
 
 CACHE_WORDS, ROWS = 250_000, 512
 END = "</w>"
+NO_MERGE = 1 << 60
 MAGIC = b"ACYC0001"
 
 
@@ -118,11 +120,13 @@ class Lexicon:
         view = memoryview(image)
         if bytes(view[:8]) != MAGIC:
             raise ValueError("not a lexicon")
-        sizes, at, parts = struct.unpack_from("<8Q", view, 8), 72, []
+        sizes, at, parts, starts = struct.unpack_from("<8Q", view, 8), 72, [], []
         for size, kind in zip(sizes, "IIBBIIII", strict=True):
             parts.append(view[at : at + size].cast(kind))
+            starts.append(at)
             at += size + -size % 4
-        (self.root,), self.first, self.final, self.labels, self.targets, self.skips, self.bounds, self.outputs = parts
+        (self.root,), self.first, self.final, _, self.targets, self.skips, self.bounds, self.outputs = parts
+        self.find, self.labels_at = image.find, starts[3]
 
     @classmethod
     def mapped(cls, path: str) -> Lexicon:
@@ -131,15 +135,13 @@ class Lexicon:
 
     def get(self, word: bytes):
         """The ids of a word, or None."""
-        state, place, first, labels = self.root, 0, self.first, self.labels
-        for byte in word:
-            for arc in range(first[state], first[state + 1]):
-                if labels[arc] == byte:
-                    place += self.skips[arc]
-                    state = self.targets[arc]
-                    break
-            else:
+        state, place, first, find, base = self.root, 0, self.first, self.find, self.labels_at
+        for k in range(len(word)):
+            arc = find(word[k : k + 1], base + first[state], base + first[state + 1]) - base
+            if arc < 0:
                 return None
+            place += self.skips[arc]
+            state = self.targets[arc]
         return self.outputs[self.bounds[place] : self.bounds[place + 1]] if self.final[state] else None
 
 
@@ -152,8 +154,14 @@ class Vocabulary:
         self.ids: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
-        self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        self.tokens = [""] * (max([*self.ids.values(), *self.special.values()], default=-1) + 1)
+        for t, i in [*self.ids.items(), *self.special.items()]:
+            self.tokens[i] = t
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.words = regex.compile(pattern)
+        # In an ASCII text, letters are A to Z and digits 0 to 9, and the standard library's engine is the faster one.
+        plain = pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r ")
+        self.ascii_words = re.compile(plain) if "\\" not in plain.replace(r"\t-\r", "") else self.words
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.alphabet = byte_alphabet()
 
@@ -166,25 +174,16 @@ class Vocabulary:
         """Exact merges of one word: always the pair of the lowest rank, from the left."""
         parts = [self.alphabet[b] for b in word.encode()]
         parts[-1] += END
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, pair = 1 << 60, None
-            for p in zip(parts, parts[1:]):
-                r = ranks.get(p)
-                if r is not None and r < best:
-                    best, pair = r, p
-            if pair is None:
-                break
-            a, b = pair
-            out, k, n = [], 0, len(parts)
-            while k < n:
-                if k + 1 < n and parts[k] == a and parts[k + 1] == b:
-                    out.append(a + b)
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
+        rank = self.ranks.get
+        ranks = [rank(p, NO_MERGE) for p in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < NO_MERGE:
+            k = ranks.index(best)
+            parts[k] += parts.pop(k + 1)
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank((parts[k - 1], parts[k]), NO_MERGE)
+            if k < len(ranks):
+                ranks[k] = rank((parts[k], parts[k + 1]), NO_MERGE)
         return tuple(self.ids[p] for p in parts if p in self.ids)
 
     def whole_words(self) -> dict[str, tuple[int, ...]]:
@@ -203,8 +202,9 @@ class Vocabulary:
         return found
 
     def split(self, piece: str) -> list[str]:
-        if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # letter by letter: no final sigma
+        if piece.isascii():
+            return self.ascii_words.findall(piece.lower())
+        piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # letter by letter: no final sigma
         return self.words.findall(piece.lower())
 
 
