@@ -107,8 +107,8 @@ class Reader:
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
             new = list(words)
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
+        for k in range(0, len(new), 5_000):
+            some = new[k : k + 5_000]
             parts = [(i, p) for i, w in enumerate(some) for p in pieces_of(w)]
             self.cache.update(dict.fromkeys(some))
             if not parts:
