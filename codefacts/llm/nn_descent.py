@@ -6,8 +6,8 @@ lists and to those that list it, each such centre compares what it got, pairs wi
 only if it beats the worst of the list it is for. Rounds end when few lists change. A centre above MEETING members splits
 into meetings by a hash that changes each round, so a hub costs rows in proportion to its degree. For largest inner
 products the vectors get one more component that makes their lengths equal (a no-op for unit vectors); the search itself
-scores the original vectors in double precision. A query's beam starts from its own node's list, and each step scores all
-neighbours, in both directions, of the beam's nodes that weren't expanded, until no beam changes.
+scores the original vectors in double precision. A query's beam starts from its own node's list; each step scores all
+neighbours, in both directions, of the best nodes of the beam that weren't expanded, until its k nearest no longer change.
 
 The index holds every vector; recall against brute force is measured in the tests and the README. Memory is bounded by one
 leaf, meeting or block. Cases: vectors that are null, zero or hold null or non-finite components take no part; shorter
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, release
 
-LIST, LEAF, TREES, ROUNDS, MEETING, BEAM, STEPS, BLOCK = 40, 512, 8, 6, 160, 64, 4, 4096
+LIST, LEAF, TREES, ROUNDS, MEETING, BEAM, EXPAND, STEPS, BLOCK = 40, 512, 8, 6, 160, 64, 8, 12, 4096
 SEED = 20240229
 LISTS = "id long, nbrs binary, scores binary, fresh binary"
 LISTS_ARROW = pa.schema([("id", pa.int64()), ("nbrs", pa.binary()), ("scores", pa.binary()), ("fresh", pa.binary())])
@@ -226,7 +226,7 @@ def _norms(batches):
         yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int64()), pa.array([float(np.linalg.norm(np.frombuffer(v))) for v in b.column(0).to_pylist()], pa.float64())], names=["w", "norm"])
 
 
-def walk(nodes: DataFrame, lists: DataFrame, queries: DataFrame, n: int, beam: int = BEAM) -> DataFrame:
+def walk(nodes: DataFrame, lists: DataFrame, queries: DataFrame, n: int, k: int, beam: int = BEAM) -> DataFrame:
     """(q, id, score) for queries (q, own node): the beam's nodes, scored exactly, after greedy steps on the graph."""
     spark = nodes.sparkSession
     blocks = max(12, -(-n // BLOCK))
@@ -266,15 +266,24 @@ def walk(nodes: DataFrame, lists: DataFrame, queries: DataFrame, n: int, beam: i
     for _ in range(STEPS):
         next_ = front.join(graph, "id").select("q", F.col("nbr").alias("id")).distinct().join(seen, ["q", "id"], "left_anti")
         new = cut(scored(next_.unionByName(front) if beams is None else next_), "nn-scored")
-        all_ = new.withColumn("is_new", F.lit(True)) if beams is None else new.withColumn("is_new", F.lit(True)).unionByName(beams.withColumn("is_new", F.lit(False)))
-        best = all_.select("q", F.struct(-F.col("score"), "id", "is_new").alias("x")).groupBy("q").agg(F.slice(F.array_sort(F.collect_list("x")), 1, beam).alias("x"))
-        best = cut(best.select("q", F.explode("x").alias("x")).select("q", F.col("x.id").alias("id"), (-F.col("x.col1")).alias("score"), F.col("x.is_new").alias("is_new")), "nn-beam")
-        front, beams = best.where("is_new").select("q", "id"), best.select("q", "id", "score")
+        all_ = new.select("q", "id", "score", F.lit(True).alias("is_new"), F.lit(False).alias("expanded"))
+        if beams is None:
+            all_ = all_.join(front.withColumn("own", F.lit(True)), ["q", "id"], "left").withColumn("expanded", F.coalesce("own", F.lit(False))).drop("own")
+        else:
+            all_ = all_.unionByName(beams)
+        best = all_.select("q", F.struct((-F.col("score")).alias("s"), "id", "is_new", "expanded").alias("x")).groupBy("q").agg(F.slice(F.array_sort(F.collect_list("x")), 1, beam).alias("x"))
+        # A query goes on while its last step changed its k nearest; it then expands the best nodes it hasn't yet.
+        moved = F.exists(F.slice("x", 1, k), lambda e: e["is_new"])
+        go = F.transform(F.slice(F.filter("x", lambda e: ~e["expanded"]), 1, EXPAND), lambda e: e["id"])
+        best = cut(best.select("q", "x", F.when(moved, go).otherwise(F.array().cast("array<long>")).alias("go")), "nn-beam")
+        front = best.select("q", F.explode("go").alias("id"))
+        told = best.select("q", "go", F.explode("x").alias("x"))
+        beams = told.select("q", F.col("x.id").alias("id"), (-F.col("x.s")).alias("score"), F.lit(False).alias("is_new"), (F.col("x.expanded") | F.array_contains("go", F.col("x.id"))).alias("expanded"))
         release(spark)
         if front.isEmpty():
             break
         seen = seen.unionByName(new.select("q", "id")).distinct()
-    return beams
+    return beams.select("q", "id", "score")
 
 
 def nearest(table: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
@@ -285,7 +294,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     lists, n = build(nodes.select("id", "vec"))
     named = rows.join(nodes.select("vec", "id"), "vec")
     asked = named.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), F.col("id").alias("own"))
-    found = walk(nodes.select("id", "vec"), lists, asked, n)
+    found = walk(nodes.select("id", "vec"), lists, asked, n, k)
     # Of equal vectors, the k + 1 smallest vec_ids can appear in an answer at most.
     from pyspark.sql import Window
 
