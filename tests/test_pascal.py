@@ -14,7 +14,7 @@ type
     constructor Create;
     destructor Destroy; override;
   end;
-  Thing2 = record
+  Point2 = record
     A: Integer;
   end;
   Walker = interface
@@ -81,7 +81,7 @@ def test_rules(files):
     for r in found.collect():
         lines.setdefault(r["rule"], []).append(r["line"])
     line = lambda text: UNIT[: UNIT.index(text)].count("\n") + 1
-    assert lines["type-prefix"] == [line("Thing2")]
+    assert lines["type-prefix"] == [line("Point2")]
     assert lines["interface-prefix"] == [line("Walker")]
     assert lines["constant-naming"] == [line("MaxLen")]
     assert sorted(lines["local-variable-naming"]) == [line("aName"), line("  list: T")]
