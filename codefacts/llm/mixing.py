@@ -104,9 +104,9 @@ def training_order(mixed: DataFrame, cap: int = 2) -> DataFrame:
 def in_training_order(docs: DataFrame, order: DataFrame, text: str = "text") -> DataFrame:
     """The documents' rows once for each copy in order, range-sorted by position. Rows that share a doc_id are told apart
     by their size, then by their turn."""
-    turn = lambda extra: F.row_number().over(Window.partitionBy("doc_id", "size", *extra).orderBy("position" if extra else F.xxhash64(text)))
-    a = docs.withColumn("size", word_count(F.col(text))) if "size" not in docs.columns else docs
-    a = a.withColumn("__nth", turn(()))
-    b = order.withColumn("__n", turn(("copy",))).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "__n", F.col("position").alias("__at"), F.col("copy").alias("__copy"))
-    both = a.join(b, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("size") == F.col("__size")) & (F.col("__nth") == F.col("__n")))
+    a = docs.withColumn("__words", word_count(F.col(text)))
+    a = a.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__words").orderBy(F.xxhash64(text))))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "size", "copy").orderBy("position"))
+    b = order.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), nth.alias("__n"), F.col("position").alias("__at"), F.col("copy").alias("__copy"))
+    both = a.join(b, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")) & (F.col("__nth") == F.col("__n")))
     return both.repartitionByRange("__at", "__id").sortWithinPartitions("__at", "__id", "__copy").select(*docs.columns)
