@@ -16,6 +16,8 @@ Texts travel as chunks of whole documents with the names packed in arrays, not a
 sends each name once, so a passage that stands in a third of all documents costs one entry for each chunk; answers are one
 bit for each name. Names are 64-bit hashes, dealt to buckets by other bits of the text.
 
+Rows are told apart by doc_id and a digest of their text; doc_id alone says which document is smaller.
+
 Cases: null texts are empty; texts under 50 bytes stay whole; matches never cross documents; documents with one doc_id
 are not smaller than each other, and a null doc_id is larger than all others; an empty table gives no rows.
 """
@@ -36,34 +38,39 @@ SPAN, NAMED = 50, 38
 #: A perfect difference set: every remainder modulo 13 is the difference of two of these.
 MODULUS, COVER = 13, (0, 1, 3, 9)
 CHUNK, BUCKET_BYTES, NO_ID = 1 << 19, 1 << 22, (1 << 63) - 1
-CHUNK_SCHEMA = "chunk long, docs binary, starts binary, lens binary, data binary"
-CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("lens", pa.binary()), ("data", pa.binary())])
+CHUNK_SCHEMA = "chunk long, docs binary, marks binary, starts binary, lens binary, data binary"
+CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("marks", pa.binary()), ("starts", pa.binary()), ("lens", pa.binary()), ("data", pa.binary())])
+#: Bytes of a text's digest.
+MARK = 16
 
 
 def pack(pieces: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
-    """Rows (doc_id, start, data) as chunks of about chunk_bytes; a piece is never cut."""
+    """Rows (doc_id, mark, start, data) as chunks of about chunk_bytes; a piece is never cut."""
+
+    def packed(x):
+        return np.array(x, np.int64).tobytes()
 
     def run(batches):
         at, n = TaskContext.get().partitionId() << 32, 0
-        docs, starts, data, size = [], [], [], 0
+        docs, texts, starts, data, size = [], [], [], [], 0
 
         def chunk():
             return pa.RecordBatch.from_arrays(
-                [pa.array([at + n]), *(pa.array([np.array(x, np.int64).tobytes()], pa.binary()) for x in (docs, starts, [len(d) for d in data])), pa.array([b"".join(data)], pa.binary())], schema=CHUNK_ARROW
+                [pa.array([at + n]), *(pa.array([x], pa.binary()) for x in (packed(docs), b"".join(texts), packed(starts), packed([len(d) for d in data]), b"".join(data)))], schema=CHUNK_ARROW
             )
 
         for b in batches:
-            for doc, start, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                docs.append(doc), starts.append(start), data.append(piece)
+            for doc, mark, start, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                docs.append(doc), texts.append(mark), starts.append(start), data.append(piece)
                 size += len(piece)
                 if size >= chunk_bytes:
                     yield chunk()
                     n += 1
-                    docs, starts, data, size = [], [], [], 0
+                    docs, texts, starts, data, size = [], [], [], [], 0
         if docs:
             yield chunk()
 
-    return pieces.select("doc_id", "start", "data").mapInArrow(run, CHUNK_SCHEMA)
+    return pieces.select("doc_id", "mark", "start", "data").mapInArrow(run, CHUNK_SCHEMA)
 
 
 def positions(lens: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,9 +129,9 @@ def by_bucket(bucket: np.ndarray, name: np.ndarray, doc: np.ndarray):
     return [(int(b[x]), n[x:y], low[x:y], two[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)] if len(b) else []
 
 
-def arrays(row) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    chunk, docs, starts, lens, data = row
-    return chunk, np.frombuffer(docs, np.int64), np.frombuffer(starts, np.int64), np.frombuffer(lens, np.int64), data
+def arrays(row) -> tuple[int, np.ndarray, list[bytes], np.ndarray, np.ndarray, bytes]:
+    chunk, docs, marks, starts, lens, data = row
+    return chunk, np.frombuffer(docs, np.int64), [marks[k : k + MARK] for k in range(0, len(marks), MARK)], np.frombuffer(starts, np.int64), np.frombuffer(lens, np.int64), data
 
 
 NAMES_SCHEMA = "bucket int, chunk long, names binary, low binary, ids binary"
@@ -138,7 +145,7 @@ def emit_names(chunks: DataFrame, buckets: int, first: bool) -> DataFrame:
     def run(batches):
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                chunk, docs, _, lens, data = arrays(row)
+                chunk, docs, _, _, lens, data = arrays(row)
                 if first:
                     _, piece, name, deal = first_names(docs, lens, data, buckets)
                     name = name.astype(np.uint32)
@@ -193,8 +200,8 @@ def answer(names: DataFrame, first: bool, tasks: int) -> DataFrame:
 
 def with_answers(chunks: DataFrame, answers: DataFrame, tasks: int) -> DataFrame:
     """Chunks and their answers in one stream: for each chunk the answers, then the chunk itself."""
-    a = answers.select("chunk", "bucket", F.col("bits").alias("docs"), F.lit(b"").alias("starts"), F.lit(b"").alias("lens"), F.lit(b"").alias("data"))
-    c = chunks.select("chunk", F.lit((1 << 31) - 1).alias("bucket"), "docs", "starts", "lens", "data")
+    a = answers.select("chunk", "bucket", F.col("bits").alias("docs"), F.lit(b"").alias("marks"), F.lit(b"").alias("starts"), F.lit(b"").alias("lens"), F.lit(b"").alias("data"))
+    c = chunks.select("chunk", F.lit((1 << 31) - 1).alias("bucket"), "docs", "marks", "starts", "lens", "data")
     return a.unionByName(c).repartition(tasks, "chunk").sortWithinPartitions("chunk", "bucket")
 
 
@@ -203,11 +210,11 @@ def stream(batches):
     bits: dict[int, np.ndarray] = {}
     of = None
     for b in batches:
-        for chunk, bucket, docs, starts, lens, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for chunk, bucket, docs, marks, starts, lens, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if of != chunk:
                 of, bits = chunk, {}
             if bucket == (1 << 31) - 1:
-                yield (chunk, docs, starts, lens, data), bits
+                yield (chunk, docs, marks, starts, lens, data), bits
             else:
                 bits[bucket] = np.unpackbits(np.frombuffer(docs, np.uint8)).astype(bool)
 
@@ -245,13 +252,13 @@ def covered(starts: np.ndarray, span: int) -> list[tuple[int, int]]:
 
 
 def repeated_pieces(chunks: DataFrame, answers: DataFrame, buckets: int, tasks: int) -> DataFrame:
-    """(doc_id, start, data): the reduced text, all bytes of strings that may occur in two documents.
+    """(doc_id, mark, start, data): the reduced text, all bytes of strings that may occur in two documents.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("start", pa.int64()), ("data", pa.binary())])
 
     def run(batches):
         for row, bits in stream(batches):
-            _, docs, starts, lens, data = arrays(row)
+            _, docs, texts, starts, lens, data = arrays(row)
             at, piece, name, deal = first_names(docs, lens, data, buckets)
             hit = marks(deal, name.astype(np.uint32), docs[piece], bits, True)
             at, piece = at[hit], piece[hit]
@@ -264,20 +271,20 @@ def repeated_pieces(chunks: DataFrame, answers: DataFrame, buckets: int, tasks:
             new = np.append(True, (piece[1:] != piece[:-1]) | (low[1:] > high[:-1] - SPAN + 1))
             a = np.flatnonzero(new)
             z = np.append(a[1:], len(low)) - 1
-            rows = [(int(docs[p]), int(x - first[p] + starts[p]), data[x:y]) for p, x, y in zip(piece[a], low[a], high[z], strict=True)]
-            d, s, t = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(t, pa.binary())], schema=schema)
+            rows = [(int(docs[p]), texts[p], int(x - first[p] + starts[p]), data[x:y]) for p, x, y in zip(piece[a], low[a], high[z], strict=True)]
+            d, m, s, t = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(m, pa.binary()), pa.array(s, pa.int64()), pa.array(t, pa.binary())], schema=schema)
 
-    return with_answers(chunks, answers, tasks).mapInArrow(run, "doc_id long, start long, data binary")
+    return with_answers(chunks, answers, tasks).mapInArrow(run, "doc_id long, mark binary, start long, data binary")
 
 
 def removed_starts(chunks: DataFrame, answers: DataFrame, buckets: int, tasks: int) -> DataFrame:
-    """(doc_id, runs): packed pairs [from, to) that go, for each piece of a document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("runs", pa.binary())])
+    """(doc_id, mark, runs): packed pairs [from, to) that go, for each piece of a document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("runs", pa.binary())])
 
     def run(batches):
         for row, bits in stream(batches):
-            _, docs, starts, lens, data = arrays(row)
+            _, docs, texts, starts, lens, data = arrays(row)
             at, piece = positions(lens, SPAN)
             name, deal = names_at(data, at, SPAN)
             hit = marks(deal % np.uint32(buckets), name, docs[piece], bits, False)
@@ -287,11 +294,11 @@ def removed_starts(chunks: DataFrame, answers: DataFrame, buckets: int, tasks: i
             first = np.cumsum(lens) - lens
             own = at - first[piece] + starts[piece]
             edges = np.append(np.flatnonzero(np.append(True, piece[1:] != piece[:-1])), len(at))
-            rows = [(int(docs[piece[x]]), np.array(covered(own[x:y], SPAN), np.int64).tobytes()) for x, y in zip(edges[:-1], edges[1:], strict=True)]
-            d, r = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(r, pa.binary())], schema=schema)
+            rows = [(int(docs[piece[x]]), texts[piece[x]], np.array(covered(own[x:y], SPAN), np.int64).tobytes()) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+            d, m, r = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(m, pa.binary()), pa.array(r, pa.binary())], schema=schema)
 
-    return with_answers(chunks, answers, tasks).mapInArrow(run, "doc_id long, runs binary")
+    return with_answers(chunks, answers, tasks).mapInArrow(run, "doc_id long, mark binary, runs binary")
 
 
 def merge_runs(packed: list[bytes]) -> list[tuple[int, int]]:
@@ -308,23 +315,30 @@ def merge_runs(packed: list[bytes]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def row_key(text: str = "text") -> list:
+    """doc_id (null as NO_ID) and the text's digest. Rows that share both lose the same bytes, so they need no other key."""
+    data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.unhex(F.md5(data))]
+
+
 def repeated_runs(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
-    """(k_id, copy, runs): documents that lose bytes. copy: the whole text goes; runs: packed runs, an array of parts."""
+    """(k_id, k_mark, copy, runs): texts that lose bytes. copy: the whole text goes; runs: packed runs, an array of parts."""
     spark = docs.sparkSession
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.lit(0).cast("long").alias("start"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("data"))
+    doc_id, mark = row_key(text)
+    d = docs.select(doc_id.alias("doc_id"), mark.alias("mark"), F.lit(0).cast("long").alias("start"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("data"))
     size = input_bytes(docs, text)
     buckets = max(12, min(1 << 14, -(-size // BUCKET_BYTES)))
     tasks = max(12, -(-size // (1 << 24)))
-    whole = d.where(F.octet_length("data") >= SPAN).select("doc_id", F.md5("data").alias("md5"), F.octet_length("data").alias("n"))
+    whole = d.where(F.octet_length("data") >= SPAN).select("doc_id", "mark", F.octet_length("data").alias("n"))
     whole = cut(whole, "dedup-digests")
-    least = whole.groupBy("md5", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
-    copies = cut(whole.join(least, ["md5", "n"]).where("doc_id > least").select("doc_id").distinct(), "dedup-copies")
+    least = whole.groupBy("mark", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
+    copies = cut(whole.join(least, ["mark", "n"]).where("doc_id > least").select("doc_id", "mark").distinct(), "dedup-copies")
     with small_batches(spark):
         chunks = cut(pack(d.where(F.octet_length("data") >= SPAN), chunk_bytes), "dedup-chunks", blobs=True)
         answers = cut(answer(emit_names(chunks, buckets, True), True, tasks), "dedup-first", blobs=True)
         release(spark)
         pieces = repeated_pieces(chunks, answers, buckets, tasks)
-        reduced = cut(pack(pieces.join(copies, "doc_id", "left_anti"), chunk_bytes), "dedup-reduced", blobs=True)
+        reduced = cut(pack(pieces.join(copies, ["doc_id", "mark"], "left_anti"), chunk_bytes), "dedup-reduced", blobs=True)
         drop_cut(chunks), drop_cut(answers)
         del chunks, pieces, answers
         release(spark)
@@ -333,9 +347,11 @@ def repeated_runs(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK)
         runs = cut(removed_starts(reduced, answers, buckets, tasks), "dedup-runs", blobs=True)
         drop_cut(reduced), drop_cut(answers)
         release(spark)
-    parts = runs.groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
-    found = parts.select(F.col("doc_id").alias("k_id"), F.lit(False).alias("copy"), "runs")
-    return found.unionByName(copies.select(F.col("doc_id").alias("k_id"), F.lit(True).alias("copy"), F.array().cast("array<binary>").alias("runs")))
+    # A set: rows repeated with their doc_id bring the same runs again.
+    parts = runs.groupBy("doc_id", "mark").agg(F.collect_set("runs").alias("runs"))
+    found = parts.select(F.col("doc_id").alias("k_id"), F.col("mark").alias("k_mark"), F.lit(False).alias("copy"), "runs")
+    whole_ones = copies.select(F.col("doc_id").alias("k_id"), F.col("mark").alias("k_mark"), F.lit(True).alias("copy"), F.array().cast("array<binary>").alias("runs"))
+    return found.unionByName(whole_ones)
 
 
 def cut_out(data: bytes, copy: bool | None, packed: list[bytes] | None) -> tuple[bytes, list[tuple[int, int]]]:
@@ -355,7 +371,8 @@ def dedup(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK) -> Data
     """docs with `kept` (the remaining bytes, as binary), `n_bytes`, `n_removed` and `n_spans` added; all rows stay."""
     runs = repeated_runs(docs, text, chunk_bytes)
     keep = list(docs.columns)
-    given = docs.join(runs, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("k_id"), "left").select(*keep, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("__data"), "copy", "runs")
+    doc_id, mark = row_key(text)
+    given = docs.join(runs, (doc_id == F.col("k_id")) & (mark == F.col("k_mark")), "left").select(*keep, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("__data"), "copy", "runs")
     schema = and_fields(docs.schema, "kept binary, n_bytes long, n_removed long, n_spans long")
 
     def run(batches):

@@ -39,6 +39,20 @@ def test_suffix_dedup(corpus, docs_of):
     assert kept.columns == corpus.columns and kept.count() == corpus.count()
 
 
+def test_suffix_dedup_of_rows_that_share_an_id(docs_of):
+    """Rows of one id, or of none, lose their own repeats only, and none of them hides those of larger documents."""
+    text = lambda seed, n=60: " ".join(f"{seed}{k * 37 % 101}" for k in range(n))
+    a, b, c, d = text("a"), text("b"), text("c"), text("d")
+    rows = [(1, a), (2, a), (2, b), (2, c[:150] + a[:90]), (3, b[:200] + d), (None, c), (None, a), (None, d), (None, d), (None, text("e", 9) + b[100:180]), (4, c), (None, None)]
+    last = suffix_dedup.NO_ID
+    want = brute_repeats([(last if i is None else i, t) for i, t in rows])
+    docs = docs_of([(i, t, "en", "s", 0) for i, t in rows])
+    for chunk_bytes in (suffix_dedup.CHUNK, 500):
+        got = suffix_dedup.digests(docs.repartition(3), chunk_bytes=chunk_bytes).collect()
+        assert sorted((last if r[0] is None else r[0], *r[1:]) for r in got) == want
+        assert all(r["n_removed"] <= r["n_bytes"] for r in got)
+
+
 def test_cover_holds_every_shift():
     cover = suffix_dedup.COVER
     assert {(a - b) % suffix_dedup.MODULUS for a in cover for b in cover} == set(range(suffix_dedup.MODULUS))
