@@ -1,13 +1,13 @@
 """The corpus pipeline: from documents to token ids, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents. Rows of one doc_id are judged together where a stage keeps
-or drops by doc_id.
+one's docs. All but the last return the columns of documents. doc_id may be null or repeated: rows are told apart by what
+they hold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefacts.llm import bpe, mixing, quality_classifier, simhash, suffix_dedup
@@ -21,12 +21,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("__nth", F.row_number().over(one)).where("__nth = 1").select(*docs.columns)
+    """One row of each group of near copies: the one of the smallest doc_id, a null one last.
+
+    Rows go through as (no id, doc_id, mark), the mark being a digest of the whole row: rows that share a doc_id, or have
+    none, are told apart by it, and only rows equal in every column are one.
+    """
+    text = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    mark = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(*docs.columns).cast("string"), text)
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), mark.alias("mark")).alias("doc_id"), "text")
+    found = simhash.near_duplicates(named)
+    first = found.where("doc_id.mark = component_id.mark").select(F.col("doc_id.mark").alias("__mark")).distinct()
+    # Equal rows meet in a partial aggregate, so that many of them make no large group.
+    single = docs.withColumn("__mark", mark).dropDuplicates(["__mark"])
+    return single.join(first, "__mark", "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

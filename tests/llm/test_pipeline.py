@@ -35,3 +35,17 @@ def test_stages(spark, small):
     run = pipeline.run(spark, small)
     digest = lambda rows: sorted((r["doc_id"], r["ids_sha256"]) for r in rows)
     assert digest(run.collect()) == digest(seen["bpe"])
+
+
+def test_near_copies_of_rows_that_share_an_id(spark, docs_of):
+    """Different texts under one doc_id, or under none, all stay; of each group of near copies one row does."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda k: " ".join(f"v{k}z{j * (k + 3) % 211}" for j in range(80))
+    row = lambda i, t: (i, t, "en", "s0", 0)
+    none = [row(None, text(k)) for k in range(6)]
+    shared = [row(7, text(k)) for k in range(10, 15)]
+    copies = [row(None, text(10)), row(9, text(0)), row(9, text(0)), row(None, text(20)), row(None, text(20)), row(7, text(14))]
+    got = pipeline.drop_near_copies(spark, docs_of(none + shared + copies).repartition(3), "").collect()
+    want = [(9, text(0)), *((None, text(k)) for k in (1, 2, 3, 4, 5, 20)), *((7, text(k)) for k in range(10, 15))]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=key) == sorted(want, key=key)
