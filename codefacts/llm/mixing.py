@@ -61,8 +61,8 @@ def curriculum_time(part, start):
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, text: str = "text") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, first_position, and what is needed to
-    place each copy: rank, start (words of the source before it), goal (words the source gives)."""
+    """One row per document: doc_id, source, size, source_size, target, taken, and what is needed to place each copy:
+    rank, start (words of the source before it), goal (words the source gives)."""
     sized = docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"))
     sized = cut(sized.withColumns({"h": F.coalesce("h", F.lit("")), "bucket": F.substring(F.coalesce("h", F.lit("")), 1, BUCKET_DIGITS)}), "mix-sizes")
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -88,17 +88,40 @@ def schedule_start(rank):
     return F.when(rank % 2 == 0, F.lit(1.5)).otherwise(F.lit(0.5))
 
 
-def training_order(mixed: DataFrame, cap: int = 2) -> DataFrame:
-    """One row per copy of a document that the mix reads: doc_id, size, copy, words, position in [0, 1].
+def with_copies(mixed: DataFrame, cap: int = 2) -> DataFrame:
+    """mixed with copies: for each time the mix reads the document, copy, words and position in [0, 1].
 
     A copy is read if it starts before its source's goal; a copy of a document without words is read once.
     """
-    copies = mixed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
-    at = F.col("start") + F.col("copy") * F.col("source_size")
-    copies = copies.withColumn("at", at).where((F.col("at") < F.col("goal")) | ((F.col("size") == 0) & (F.col("copy") == 0)))
-    part = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("at").cast("double"), F.col("goal").cast("double")), F.lit(0.0)))
-    words = F.greatest(F.lit(0), F.least("size", F.col("goal") - F.col("at")))
-    return copies.select("doc_id", "size", "copy", words.alias("words"), curriculum_time(part, schedule_start(F.col("rank"))).alias("position"))
+
+    def one(k: int):
+        at = F.col("start") + F.col("source_size") * k
+        part = F.least(F.lit(1.0), F.coalesce(F.try_divide(at.cast("double"), F.col("goal").cast("double")), F.lit(0.0)))
+        words = F.greatest(F.lit(0), F.least("size", F.col("goal") - at)).cast("long")
+        read = (at < F.col("goal")) | ((F.col("size") == 0) & F.lit(k == 0))
+        return F.when(read, F.struct(F.lit(k).alias("copy"), words.alias("words"), curriculum_time(part, schedule_start(F.col("rank"))).alias("position")))
+
+    return mixed.withColumn("copies", F.filter(F.array(*map(one, range(cap))), lambda c: c.isNotNull()))
+
+
+def training_order(mixed: DataFrame, cap: int = 2) -> DataFrame:
+    """One row per copy of a document that the mix reads: doc_id, size, copy, words, position in [0, 1]."""
+    copies = with_copies(mixed, cap).select("doc_id", "size", F.explode("copies").alias("c"))
+    return copies.select("doc_id", "size", "c.copy", "c.words", "c.position")
+
+
+def by_position(order: DataFrame) -> DataFrame:
+    """training_order's rows, range-sorted by position."""
+    return order.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
+
+
+def by_first_position(mixed: DataFrame, cap: int = 2) -> DataFrame:
+    """One row per document, range-sorted by the position at which it is first read, those never read last; taken is the
+    sum of the words of its copies."""
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda sum_, c: sum_ + c["words"])
+    read = with_copies(mixed, cap).withColumns({"taken": taken, "first_position": F.try_element_at("copies", F.lit(1))["position"]})
+    by = [F.col("first_position").asc_nulls_last(), F.col("doc_id")]
+    return read.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 def in_training_order(docs: DataFrame, order: DataFrame, text: str = "text") -> DataFrame:

@@ -41,9 +41,16 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix
+    from .mixing import by_first_position, mix
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    # The rows stand in training order; their columns are those of the SQL. op4_training_order has the positions.
+    return by_first_position(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import by_position, mix, training_order
+
+    return by_position(training_order(mix(table(spark, sf_dir, "documents"))))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +98,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mixing": op4_mixing,
+    "op4_training_order": op4_training_order,
     "op5_bpe": op5_bpe,
     "op6_nn_descent": op6_nn_descent,
     "op7_quality_rules": op7_quality_rules,

@@ -90,6 +90,47 @@ def test_training_order(corpus):
     assert all(0 <= r["position"] <= 1 for r in order.collect())
 
 
+def drawn_at(part, start, steps=20_000):
+    """The time at which a weight going linearly from start to 2 - start has drawn part of its integral, by adding it up."""
+    total = 0.0
+    for k in range(steps):
+        if total >= part - 1e-9:
+            return k / steps
+        total += (start + (2 - 2 * start) * (k + 0.5) / steps) / steps
+    return 1.0
+
+
+def test_op4_goes_through_the_curriculum(spark, corpus, tmp_path):
+    from codefacts.llm import queries
+
+    corpus.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    mixed = mixing.mix(corpus).collect()
+    want = []
+    for r in mixed:
+        for copy in range(2):
+            at = r["start"] + copy * r["source_size"]
+            if at < r["goal"] or r["size"] == 0 == copy:
+                part = at / r["goal"] if r["goal"] else 0.0
+                want.append((r["doc_id"], copy, max(0, min(r["size"], r["goal"] - at)), drawn_at(min(1.0, part), 0.5 if r["rank"] % 2 else 1.5)))
+    order = queries.op4_training_order(spark, str(tmp_path)).collect()
+    key = lambda r: (r[0], r[1], r[2], r[3])
+    got = sorted(((r["doc_id"], r["copy"], r["words"], r["position"]) for r in order), key=key)
+    assert len(got) == len(want)
+    for a, b in zip(got, sorted(want, key=key), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-3
+    positions = [r["position"] for r in order]
+    assert positions == sorted(positions) and len(set(positions)) > 5
+    rows = queries.op4_mixing(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in rows) == sorted((r["doc_id"], r["taken"]) for r in mixed)
+    first, last_read = {}, 0.0
+    for i, _, _, p in got:
+        first.setdefault(i, set()).add(p)
+    for r in rows:
+        ahead = [p for p in first.get(r["doc_id"], {2.0}) if p >= last_read]
+        assert ahead, "a document stands after one that is read later"
+        last_read = min(ahead)
+
+
 TEXTS = ["", "Hello WORLD's isn't 123  x y", "ΑΣ ΟΔΥΣΣΕΥΣ İstanbul é ﬁ ²³ Ⅷ", "<|startoftext|>hi<|endoftext|> a <|endoftext|>", "日本語 テスト 😀😀", "a\x1cb\x00c", "x " * 5000]
 
 
