@@ -409,6 +409,58 @@ def q48_may_analysis(spark, sf):
     return graph.lattice_states(e, effects, 1).select("block", "state")
 
 
+# ---- the same graph operators on the whole graph: every row of lineitem, part and supplier numbers as they are
+
+WHOLE_SQL = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem)"
+WHOLE_DOMS_SQL = f"""{WHOLE_SQL}, r(node) AS (SELECT 1::BIGINT UNION SELECT e.dst FROM r JOIN e ON r.node = e.src),
+a(avoid, node) AS (SELECT node, 1::BIGINT FROM r WHERE node <> 1 UNION SELECT a.avoid, e.dst FROM a JOIN e ON a.node = e.src WHERE e.dst <> a.avoid)"""
+
+
+def whole_edges(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+
+
+@query(f"WITH RECURSIVE {WHOLE_SQL}, r(start, node) AS (SELECT src, src FROM (SELECT DISTINCT src FROM e WHERE src < 5) UNION SELECT r.start, e.dst FROM r JOIN e ON r.node = e.src) SELECT start, node FROM r")
+def q55_whole_reachability(spark, sf):
+    e = whole_edges(spark, sf)
+    return graph.reachable(e, e.where("src < 5").select(F.col("src").alias("start"))).select("start", "node")
+
+
+@query(f"WITH RECURSIVE {WHOLE_SQL}, r(node, hops) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, hops + 1 FROM r JOIN e ON r.node = e.src WHERE hops < 60) SELECT node, min(hops) AS hops FROM r GROUP BY node")
+def q56_whole_shortest_path(spark, sf):
+    return graph.reachable(whole_edges(spark, sf), small(spark, "start long", [(1,)])).select("node", "hops")
+
+
+@query(f"WITH RECURSIVE {WHOLE_DOMS_SQL} SELECT n.node, d.node AS dominator FROM r n JOIN r d ON n.node <> d.node WHERE d.node = 1 OR NOT EXISTS (SELECT 1 FROM a WHERE a.avoid = d.node AND a.node = n.node)")
+def q57_whole_dominators(spark, sf):
+    return graph.dominators(whole_edges(spark, sf), 1)
+
+
+@query(f"WITH RECURSIVE {WHOLE_DOMS_SQL} SELECT d.node FROM r d WHERE d.node <> 1 AND EXISTS (SELECT 1 FROM r WHERE node = 9) AND NOT EXISTS (SELECT 1 FROM a WHERE a.avoid = d.node AND a.node = 9)")
+def q58_whole_must_pass(spark, sf):
+    return graph.must_pass(whole_edges(spark, sf), 1, 9)
+
+
+@query(f"WITH RECURSIVE {WHOLE_SQL}, k(node, hop) AS (SELECT 7::BIGINT, 0 UNION SELECT e.src, hop + 1 FROM k JOIN e ON e.dst = k.node WHERE hop < 20) SELECT DISTINCT node FROM k")
+def q59_whole_spread(spark, sf):
+    return graph.spread(whole_edges(spark, sf), small(spark, "node long", [(7,)]))
+
+
+@query(f"""WITH RECURSIVE {WHOLE_SQL}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+r(n, m) AS (SELECT a, a FROM u UNION SELECT r.n, u.b FROM r JOIN u ON r.m = u.a) SELECT n AS node, min(m) AS component FROM r WHERE EXISTS (SELECT 1 FROM u WHERE a = n AND b <> n) GROUP BY n""")
+def q60_whole_components(spark, sf):
+    return graph.connected_components(whole_edges(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {WHOLE_DOMS_SQL}, w(b) AS (SELECT e.dst FROM e JOIN r ON e.src = r.node WHERE e.src % 6 = 0 AND e.src % 4 <> 0
+  UNION SELECT e.dst FROM w JOIN e ON e.src = w.b WHERE NOT (e.src % 4 = 0)) SELECT r.node AS block, CAST(EXISTS (SELECT 1 FROM w WHERE w.b = r.node) AS INTEGER) AS state FROM r""")
+def q61_whole_may_analysis(spark, sf):
+    e = whole_edges(spark, sf)
+    nodes = e.select(F.col("src").alias("block")).distinct()
+    effects = nodes.select("block", F.lit("x").alias("name"), F.when(F.col("block") % 4 == 0, 0).when(F.col("block") % 6 == 0, 1).alias("sets")).where("sets IS NOT NULL")
+    return graph.lattice_states(e, effects, 1).select("block", "state")
+
+
 # ---- layout and streams
 
 
