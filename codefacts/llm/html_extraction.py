@@ -27,7 +27,7 @@ ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'
 # Element names of HTML and words that mark page furniture in class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe noscript template".split())
-DROPPED = frozenset("nav header footer aside form button select option dialog menu head svg math object canvas audio video figure fieldset label".split())
+DROPPED = frozenset("nav header footer aside form button select option dialog menu head svg math object canvas audio video".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "caption"}
 FURNITURE = frozenset(

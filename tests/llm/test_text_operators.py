@@ -29,6 +29,13 @@ def test_extract(page, text):
     assert html_extraction.extract(page) == text
 
 
+def test_extract_keeps_figures():
+    """Captions, code, tables and quotations in a figure, and labels outside forms, are text of the article."""
+    page = "<article><p>A text, long enough, to count as one.</p><figure><img src=x><figcaption>The caption.</figcaption></figure><figure><pre>x = 1</pre></figure>"
+    page += "<fieldset><figure><blockquote><p>A quotation.</p></blockquote></figure><label>A label.</label></fieldset><form><label>Name</label></form></article>"
+    assert html_extraction.extract(page) == "A text, long enough, to count as one.\nThe caption.\nx = 1\nA quotation.\nA label."
+
+
 def test_extract_keeps_other_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é</p>", 5), (1, "u", "<p>é</p>", 5), (2, None, None, 6)], "page_id long, url string, html string, n_chars long")
     got = sorted(map(tuple, html_extraction.extract_main_text(pages).select("page_id", "url", "text", "n_chars").collect()), key=str)
