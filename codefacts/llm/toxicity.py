@@ -1,7 +1,8 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
 The kernel of two words counts common subsequences of three letters (word borders are letters too), each occurrence
-discounted by the letters it skips, so a word with inserted or missing letters stays near. The kernel row of a text holds
+discounted by the letters it skips, so a word with inserted or missing letters stays near. It is normalised by the stretch of
+the word that matches, so letters inserted at every place cost little, and by the whole word to tell equal ones. The kernel row of a text holds
 its nearest word to each landmark; runs of single letters are read as one word as well. Landmarks are the words
 that tell the labels apart best on the training rows. The rows, whitened by the landmarks' own kernel matrix (Nystroem),
 feed a linear support vector machine with squared hinge loss, solved by Newton steps; a logistic curve turns its margin
@@ -26,7 +27,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 MAX_LABELLED, LANDMARKS, FOLDS = 20_000, 96, 5
-DECAY, MAX_SKIP, NEAR, SAME = 0.6, 3, 0.55, 0.95
+DECAY, MAX_SKIP, SAME = 0.6, 3, 0.95
+#: Matched stretches: ordinary words stay below NEAR, words with a letter inserted at every place reach FULL.
+NEAR, FULL = 0.55, 0.85
+#: What an equal word counts beyond a near one.
+EQUAL = 0.3
 WIDTH, BITS, CACHE_WORDS = 32, 18, 300_000
 #: Skips before the second and the third letter.
 SKIPS = tuple((a, b) for a in range(MAX_SKIP + 1) for b in range(MAX_SKIP + 1 - a))
@@ -81,7 +86,7 @@ class Kernel:
         self.own = self.rows(words)
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """The kernel of each word with each landmark."""
+        """The kernel of each word with each landmark, normalised by the matched stretch, then by the whole word."""
         size, word, feature, weight = np.zeros(len(words)), [], [], []
         for discount, h, there in subsequences(words):
             size += there.sum(1) * discount**2
@@ -92,12 +97,15 @@ class Kernel:
         n = self.first[feature + 1] - self.first[feature]
         hit = np.repeat(np.arange(len(word)), n)
         at = np.arange(len(hit)) + np.repeat(self.first[feature] - np.cumsum(n) + n, n)
-        sums = np.bincount(word[hit] * self.count + self.landmark[at], weight[hit] * self.value[at], len(words) * self.count)
-        return (sums.reshape(len(words), self.count) / np.sqrt(np.maximum(size, 1e-9))[:, None]).astype(np.float32)
+        pair = word[hit] * self.count + self.landmark[at]
+        sums = np.bincount(pair, weight[hit] * self.value[at], len(words) * self.count).reshape(len(words), self.count)
+        stretch = np.bincount(pair, weight[hit] ** 2, len(words) * self.count).reshape(len(words), self.count)
+        both = sums / np.sqrt(np.maximum(stretch, 1e-9)), sums / np.sqrt(np.maximum(size, 1e-9))[:, None]
+        return np.hstack(both).astype(np.float32)
 
 
 class Reader:
-    """Kernel rows of texts, with a bounded cache of words."""
+    """Kernel rows of texts, with a bounded cache of words, in steps of 1/255."""
 
     def __init__(self, kernel: Kernel):
         self.kernel, self.cache = kernel, {}
@@ -114,20 +122,22 @@ class Reader:
             if not parts:
                 continue
             rows = self.kernel.rows([p for _, p in parts])
-            for at in np.flatnonzero(rows.max(1, initial=0) >= NEAR):
+            far = rows[:, : self.kernel.count].max(1, initial=0) < NEAR
+            rows = np.round(np.clip(rows, 0, 1) * 255).astype(np.uint8)
+            for at in np.flatnonzero(~far):
                 word = some[parts[at][0]]
                 old = self.cache[word]
                 self.cache[word] = rows[at] if old is None else np.maximum(old, rows[at])
 
     def read(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), self.kernel.count), np.float32)
+        out = np.zeros((len(texts), 2 * self.kernel.count), np.float32)
         for k in range(0, len(texts), 256):
             sets = [self.words(t) for t in texts[k : k + 256]]
             self.learn(set().union(*sets))
             for i, s in enumerate(sets):
                 near = [r for r in map(self.cache.__getitem__, s) if r is not None]
                 if near:
-                    out[k + i] = np.max(near, axis=0)
+                    out[k + i] = np.max(near, axis=0) / np.float32(255)
         return out
 
     @staticmethod
@@ -147,15 +157,16 @@ def in_fold(doc_id):
 
 
 def near(k: np.ndarray) -> np.ndarray:
-    """Kernel values from NEAR on, on the scale from 0 to 1."""
-    return np.clip((k - NEAR) / (1 - NEAR), 0, 1)
+    """Kernel values from NEAR to FULL, on the scale from 0 to 1."""
+    return np.clip((k - NEAR) / (FULL - NEAR), 0, 1)
 
 
 class Machine:
     """The support vector machine on whitened kernel rows, and on how closely the nearest word equals its landmark."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, own: np.ndarray, ridge: float = 1.0):
-        own = near(own)
+        self.count = len(own)
+        own = near(own[:, : self.count])
         values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-3 * np.eye(len(own)))
         self.whiten = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
         z, sign = self.map(x), np.where(y > 0, 1.0, -1.0)
@@ -178,7 +189,8 @@ class Machine:
         self.curve = curve
 
     def map(self, x: np.ndarray) -> np.ndarray:
-        return np.hstack([near(x) @ self.whiten, np.clip((x - SAME) / (1 - SAME), 0, 1), np.ones((len(x), 1))])
+        stretch, whole = x[:, : self.count], x[:, self.count :]
+        return np.hstack([near(stretch) @ self.whiten, EQUAL * np.clip((whole - SAME) / (1 - SAME), 0, 1), np.ones((len(x), 1))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * (self.map(x) @ self.weights) + self.curve[1], -30, 30)))

@@ -83,3 +83,22 @@ def test_toxicity(labelled):
     s = model[1].score(read.read(near).astype(float))
     assert (s[:5] >= 0.5).all() and (s[5:] < 0.5).all()
     assert all(r["score"] == 0 for r in toxicity.score(docs, None).collect())
+
+
+def test_toxicity_of_words_with_inserted_letters(labelled):
+    """One letter or digit inserted at every place, alone and at all places at once; some ordinary words stay clean."""
+    docs, labels = labelled
+    model = toxicity.train(docs, labels)
+    reader = toxicity.Reader(model[0])
+    score = lambda texts: model[1].score(reader.read(texts).astype(float))
+    planted = []
+    for word in ("scoundrel", "numbskull"):
+        for extra in "xq7":
+            planted += [word[:k] + extra + word[k:] for k in range(1, len(word))] + [extra.join(word)]
+        planted.append("".join(c + str(k) for k, c in enumerate(word))[:-1])
+    got = score([f"you {w} there" for w in planted])
+    assert (got >= 0.5).all(), [(w, round(float(g), 2)) for w, g in zip(planted, got, strict=True) if g < 0.5]
+    assert (score(["a sound drill", "round numbers", "ground floor"]) < 0.5).all()
+    kernel = toxicity.Kernel(["idiot", "scum", "loser"])
+    for k, w in enumerate(["ixdxixoxt", "sxcxuxm", "lxoxser"]):
+        assert kernel.rows([f"^{w}$"])[0, k] > 0.8
