@@ -7,11 +7,13 @@ goes to every node once through the session's file server and is memory-mapped t
 its pages. Words that the automaton does not hold are merged exactly, pair by pair in the order of the ranks.
 
 Normalisation (NFC, lower case), the split into words, the byte alphabet and the ids are those of the vocabulary file;
-its special tokens are found in the raw text first. Decoding joins the tokens of the ids with a space, as a vocabulary
-file without decoder asks for.
+its special tokens are found in the raw text first. Letters, digits, white space and lower case are those of the published
+tokenizers, whose tables are newer than Python's: the differences stand below and a test compares all code points.
+Decoding joins the tokens of the ids with a space, as a vocabulary file without decoder asks for.
 
-Cases: null texts are empty and have no ids; texts of any length go word by word; repeated rows give repeated rows.
-A worker's cache of merged words is emptied at CACHE_WORDS words, which bounds its memory and changes no result.
+Cases: null texts are empty and have no ids; texts of any length go word by word, and a word of n letters takes time in
+proportion to n log n; repeated rows give repeated rows. A worker's cache of merged words is emptied at CACHE_WORDS words
+and holds no word above CACHE_LETTERS, which bounds its memory and changes no result.
 """
 
 from __future__ import annotations
@@ -22,23 +24,72 @@ import mmap
 import os
 import re
 import struct
+import sys
 import tempfile
 import unicodedata
 from array import array
+from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import and_fields
 
-CACHE_WORDS, ROWS = 250_000, 512
+CACHE_WORDS, CACHE_LETTERS, ROWS = 250_000, 64, 512
 END = "</w>"
 NO_MERGE = 1 << 60
 MAGIC = b"ACYC0001"
+#: Words of more parts than this are merged with a heap.
+LONG = 64
+
+# What the tokenizers' Unicode tables have beyond Python 3.13's (Unicode 15.1), as first and last code point.
+NEWER_LETTERS = """
+1C89 1C8A, A7CB A7CD, A7DA A7DC, 105C0 105F3, 10D4A 10D65, 10D6F 10D85, 10EC2 10EC4, 11380 11389, 1138B 1138B, 1138E 1138E, 11390 113B5,
+113B7 113B7, 113D1 113D1, 113D3 113D3, 11BC0 11BE0, 13460 143FA, 16100 1611D, 16D40 16D6C, 18CFF 18CFF, 1E5D0 1E5ED, 1E5F0 1E5F0
+"""
+NEWER_DIGITS = "10D40 10D49, 116D0 116E3, 11BF0 11BF9, 16130 16139, 16D70 16D79, 1CCF0 1CCF9, 1E5F1 1E5FA"
+#: Capitals and the small letter of the first.
+NEWER_CAPITALS = """
+1C89 1C89 1C8A, A7CB A7CB 0264, A7CC A7CC A7CD, A7CE A7CE A7CF, A7D2 A7D2 A7D3, A7D4 A7D4 A7D5, A7DA A7DA A7DB, A7DC A7DC 019B, 10D50 10D65 10D70,
+16EA0 16EB8 16EBB
+"""
+#: Marks that the tokenizers' composition doesn't know: they stand like letters, and what is on either side composes alone.
+UNKNOWN_MARKS = """
+07FD 07FD, 0898 089F, 08CA 08D3, 09FE 09FE, 0C3C 0C3C, 0D3B 0D3C, 0EBA 0EBA, 1715 1715, 1ABF 1ACE, 1DF6 1DFA, A82C A82C, 10D24 10D27, 10EAB 10EAC,
+10EFD 10EFF, 10F46 10F50, 10F82 10F85, 11070 11070, 1133B 1133B, 1145E 1145E, 11839 1183A, 11930 11930, 1193D 1193E, 11943 11943, 119E0 119E0, 11A34
+11A34, 11A47 11A47, 11A99 11A99, 11D42 11D42, 11D44 11D45, 11D97 11D97, 11F41 11F42, 16FF0 16FF1, 1E08F 1E08F, 1E130 1E136, 1E2AE 1E2AE, 1E2EC 1E2EF,
+1E4EC 1E4EF
+"""
+SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+def hexes(listed: str) -> list[list[int]]:
+    return [[int(x, 16) for x in entry.split()] for entry in listed.split(",")]
+
+
+@cache
+def char_class(major: str) -> str:
+    """The inside of a bracket expression: all code points of a major category, L or N."""
+    inside = np.array([unicodedata.category(chr(c))[0] == major for c in range(sys.maxunicode + 1)])
+    for a, z in hexes(NEWER_LETTERS if major == "L" else NEWER_DIGITS):
+        inside[a : z + 1] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    return "".join(f"\\U{a:08x}-\\U{z - 1:08x}" for a, z in edges.reshape(-1, 2).tolist())
+
+
+IS_UNKNOWN_MARK = re.compile("([" + "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in hexes(UNKNOWN_MARKS)) + "])")
+SMALL = {a + k: small + k for a, z, small in hexes(NEWER_CAPITALS) for k in range(z - a + 1)}
+HAS_NEWER_CAPITAL = re.compile("[" + "".join(map(chr, SMALL)) + "]")
+
+
+def lower(text: str) -> str:
+    """Small letters, letter by letter: a sigma at a word's end is an ordinary one."""
+    text = text.replace("Σ", "σ").lower()
+    return text.translate(SMALL) if HAS_NEWER_CAPITAL.search(text) else text
 
 
 def byte_alphabet() -> list[str]:
@@ -148,6 +199,10 @@ class Lexicon:
 # ---- the vocabulary
 
 
+def composed(text: str) -> str:
+    return "".join(unicodedata.normalize("NFC", part) for part in IS_UNKNOWN_MARK.split(text)) if IS_UNKNOWN_MARK.search(text) else unicodedata.normalize("NFC", text)
+
+
 class Vocabulary:
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -158,11 +213,10 @@ class Vocabulary:
         for t, i in [*self.ids.items(), *self.special.items()]:
             self.tokens[i] = t
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern)
-        # In an ASCII text, letters are A to Z and digits 0 to 9, and the standard library's engine is the faster one.
-        plain = pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r ")
-        self.ascii_words = re.compile(plain) if "\\" not in plain.replace(r"\t-\r", "") else self.words
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.words = re.compile(pattern.replace(r"\p{L}", char_class("L")).replace(r"\p{N}", char_class("N")).replace(r"\s", SPACES))
+        # In an ASCII text, letters are A to Z and digits 0 to 9.
+        self.ascii_words = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r "))
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.alphabet = byte_alphabet()
 
     @classmethod
@@ -174,6 +228,8 @@ class Vocabulary:
         """Exact merges of one word: always the pair of the lowest rank, from the left."""
         parts = [self.alphabet[b] for b in word.encode()]
         parts[-1] += END
+        if len(parts) > LONG:
+            return self.merge_long(parts)
         rank = self.ranks.get
         ranks = [rank(p, NO_MERGE) for p in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) < NO_MERGE:
@@ -186,6 +242,26 @@ class Vocabulary:
                 ranks[k] = rank((parts[k], parts[k + 1]), NO_MERGE)
         return tuple(self.ids[p] for p in parts if p in self.ids)
 
+    def merge_long(self, parts: list[str | None]) -> tuple[int, ...]:
+        """The same merges over linked parts, with the pairs in a heap by rank and place."""
+        n, rank = len(parts), self.ranks.get
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(r, k) for k in range(n - 1) if (r := rank((parts[k], parts[k + 1]))) is not None]
+        heapify(heap)
+        while heap:
+            r, k = heappop(heap)
+            j = after[k]
+            if parts[k] is None or j < 0 or rank((parts[k], parts[j])) != r:
+                continue  # one of the two has merged meanwhile
+            parts[k] += parts[j]
+            parts[j], after[k] = None, after[j]
+            if after[k] >= 0:
+                before[after[k]] = k
+            for a, b in ((before[k], k), (k, after[k])):
+                if a >= 0 <= b and (r := rank((parts[a], parts[b]))) is not None:
+                    heappush(heap, (r, a))
+        return tuple(self.ids[p] for p in parts if p is not None and p in self.ids)
+
     def whole_words(self) -> dict[str, tuple[int, ...]]:
         """The vocabulary's own words that the split leaves whole, with the ids of their merges."""
         back = {c: b for b, c in enumerate(self.alphabet)}
@@ -204,8 +280,7 @@ class Vocabulary:
     def split(self, piece: str) -> list[str]:
         if piece.isascii():
             return self.ascii_words.findall(piece.lower())
-        piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # letter by letter: no final sigma
-        return self.words.findall(piece.lower())
+        return self.words.findall(lower(composed(piece)))
 
 
 class Coder:
@@ -219,7 +294,9 @@ class Coder:
         ids = self.lexicon.get(word.encode())
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
-        packed = self.cache[word] = array("I", ids if ids is not None else self.vocabulary.merge(word)).tobytes()
+        packed = array("I", ids if ids is not None else self.vocabulary.merge(word)).tobytes()
+        if len(word) <= CACHE_LETTERS:
+            self.cache[word] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
