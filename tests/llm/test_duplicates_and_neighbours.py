@@ -53,6 +53,33 @@ def test_suffix_dedup_of_rows_that_share_an_id(docs_of):
         assert all(r["n_removed"] <= r["n_bytes"] for r in got)
 
 
+def test_suffix_dedup_of_hard_texts(docs_of):
+    """Texts of few letters, strings that differ in one byte at any place, repeats at every shift, and pieces of one document."""
+    rng = np.random.default_rng(11)
+    word = lambda letters, n: "".join(rng.choice(list(letters), n))
+    base = word("abcdefgh", 400)
+    rows = [(1, base), (2, "a" * 300), (3, "b" * 49), (4, "a" * 61 + "b" * 55), (5, word("ab", 600)), (6, word("ab", 500))]
+    rows += [(10 + k, word("xyz", k) + base[k : k + 50] + word("xyz", 30)) for k in range(13)]
+    rows += [(30 + k, base[60 : 60 + k] + "!" + base[61 + k : 180]) for k in range(0, 52, 3)]
+    rows += [(60 + k, base[200 + k : 249 + k] + word("uvw", 20)) for k in range(4)]
+    rows += [(70, base[:30] * 9), (71, base[:30] * 4 + "é" * 40), (72, "é" * 60)]
+    want = brute_repeats(rows)
+    docs = docs_of([(i, t, "en", "s", 0) for i, t in rows])
+    for chunk_bytes in (100, 1000, suffix_dedup.CHUNK):
+        assert sorted(map(tuple, suffix_dedup.digests(docs.repartition(2), chunk_bytes=chunk_bytes).collect())) == want
+
+
+def test_equal_names_of_different_bytes():
+    """Tuples that a hash brought together, though they differ, mark nothing: bytes decide."""
+    around = np.zeros((4, 64), np.uint8)
+    around[:, :62] = np.arange(62)
+    around[:, 62:] = 12
+    around[1, 30] = 200  # another tuple
+    around[2, 5] = 200  # the same tuple, other bytes before it
+    got = suffix_dedup.later_windows(around, np.array([1, 2, 3, 4]))
+    assert got.tolist() == [0, 0, (1 << 7) - 1, (1 << 13) - 1]
+
+
 def test_cover_holds_every_shift():
     cover = suffix_dedup.COVER
     assert {(a - b) % suffix_dedup.MODULUS for a in cover for b in cover} == set(range(suffix_dedup.MODULUS))
