@@ -5,13 +5,16 @@ the excess is shared again by weight, until none is above (water-filling, solved
 Documents of a source stand in a fixed pseudo-random order; the mix takes the source's words in that order, again from
 the start when the target is above its size, and stops at the target inside a document.
 Curriculum: source s draws a share of its target up to time t of the training that is the integral of a linear weight
-schedule; inverting that cumulative demand gives each document the time, hence the position, at which it is read.
+schedule; inverting that cumulative demand gives each document the time at which it is read, and the demand of all sources
+up to then, in words, is its position in the training stream.
 
-Running sums are in two levels: buckets of the order's hash inside a source, then rows inside a bucket, so a source with
-a third of all rows is spread over many groups. Only the table of sources (one row each) goes to one task.
+Rows that agree in doc_id, source and size can change places, so they are counted first and told apart only when each gets
+its copies: a third of all rows without an id make no group of their own. Running sums are in two levels: buckets of the
+order's hash inside a source, then rows inside a bucket, so a source with a third of all rows is spread over many groups.
+Only the table of sources (one row each) goes to one task.
 
 Cases: null texts have size 0; null sources are one source, after the others; sources of size 0 get target 0; an empty
-table gives no rows; repeated rows are separate documents.
+table gives no rows; repeated rows, and rows that share a doc_id or have none, are separate documents.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from .common import WORD, cut
 
 #: Hex digits of the order's hash that make a bucket: 16 ** 3 buckets in each source.
 BUCKET_DIGITS = 3
+#: Equal rows that one row of counts becomes at a time.
+BLOCK = 4096
 
 
 def word_count(text):
@@ -30,7 +35,10 @@ def word_count(text):
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """sizes (source, source_size) with rank, weight and target. Sources by code point, null last, weigh `weights` in turn."""
+    """sizes (source, source_size) with rank and target, early and late. Sources by code point, null last, weigh `weights` in turn.
+
+    early and late: at time t, all sources together have drawn early * t + late * t * t words.
+    """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sizes.withColumn("rank", F.row_number().over(by_name) - 1)
     ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
@@ -49,9 +57,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     level = level.withColumn("full", F.col("level") * F.col("weight") >= F.col("source_size") * F.lit(cap))
     # The level of the first source that is not full holds for all from there on.
     open_level = F.min(F.when(~F.col("full"), F.struct(F.col("source_size") / F.col("weight"), F.col("rank"), F.col("level")))).over(everything)
-    return level.withColumn("at", open_level["level"]).select(
+    told = level.withColumn("at", open_level["level"]).select(
         "source", "rank", "source_size", F.when(F.col("full"), F.col("source_size") * F.lit(cap)).otherwise(F.col("at") * F.col("weight")).alias("target")
     )
+    whole, start = Window.partitionBy(), schedule_start(F.col("rank"))
+    words = F.floor("target").cast("double")
+    return told.withColumns({"early": F.sum(words * start).over(whole), "late": F.sum(words * (F.lit(1.0) - start)).over(whole)})
 
 
 def curriculum_time(part, start):
@@ -62,34 +73,45 @@ def curriculum_time(part, start):
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, text: str = "text") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, and what is needed to place each copy:
-    rank, start (words of the source before it), goal (words the source gives)."""
-    sized = docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"))
-    sized = cut(sized.withColumns({"h": F.coalesce("h", F.lit("")), "bucket": F.substring(F.coalesce("h", F.lit("")), 1, BUCKET_DIGITS)}), "mix-sizes")
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    rank, start (words of the source before it), goal (words the source gives), early and late."""
+    sized = docs.select("doc_id", "source", word_count(F.col(text)).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
+    h = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
+    sized = cut(sized.withColumn("h", h).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)), "mix-sizes")
+    buckets = sized.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("rows")).alias("bucket_size"))
     in_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0)))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, cap)
     targets = targets.withColumnRenamed("source", "t_source")
     starts = starts.join(targets, F.col("source").eqNullSafe(F.col("t_source")))
-    starts = starts.select(F.col("source").alias("s_source"), F.col("bucket").alias("s_bucket"), "bucket_start", "rank", "source_size", "target")
+    starts = starts.select(F.col("source").alias("s_source"), F.col("bucket").alias("s_bucket"), "bucket_start", "rank", "source_size", "target", "early", "late")
     placed = sized.join(starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("bucket") == F.col("s_bucket"))).drop("s_source", "s_bucket")
     in_bucket = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
+    placed = placed.withColumn("start", F.col("bucket_start") + F.coalesce(F.sum(F.col("size") * F.col("rows")).over(in_bucket), F.lit(0)))
     goal = F.floor("target")
     turn = lambda k: F.greatest(F.lit(0), F.least("size", F.col("goal") - F.col("source_size") * k - F.col("start")))
-    return placed.withColumn("goal", goal).select(
-        "doc_id", "source", "rank", "size", "source_size", "target", "start", "goal",
+    return one_by_one(placed).withColumn("goal", goal).select(
+        "doc_id", "source", "rank", "size", "source_size", "target", "start", "goal", "early", "late",
         sum((turn(k) for k in range(1, int(-(-cap // 1)))), turn(0)).cast("long").alias("taken"),
     )
 
 
+def one_by_one(placed: DataFrame) -> DataFrame:
+    """A row for each of the equal rows that were counted, each starting where the one before ends. Many equal rows become
+    blocks first, which are dealt out, so that no task writes them all."""
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / BLOCK)))
+    blocks = placed.withColumn("block", first).repartition("doc_id", "size", "block")
+    nth = F.explode(F.sequence(F.col("block") * BLOCK, F.least(F.col("rows"), (F.col("block") + 1) * BLOCK) - 1))
+    return blocks.withColumn("nth", nth).withColumn("start", F.col("start") + F.col("nth") * F.col("size"))
+
+
 def schedule_start(rank):
     """The curriculum: sources of even rank fade out (1.5 to 0.5 times their mean weight), the others fade in."""
     return F.when(rank % 2 == 0, F.lit(1.5)).otherwise(F.lit(0.5))
 
 
 def with_copies(mixed: DataFrame, cap: int = 2) -> DataFrame:
-    """mixed with copies: for each time the mix reads the document, copy, words and position in [0, 1].
+    """mixed with copies: for each time the mix reads the document, copy, words, the time in [0, 1], and the position, the words
+    that all sources have drawn by then.
 
     A copy is read if it starts before its source's goal; a copy of a document without words is read once.
     """
@@ -99,15 +121,17 @@ def with_copies(mixed: DataFrame, cap: int = 2) -> DataFrame:
         part = F.least(F.lit(1.0), F.coalesce(F.try_divide(at.cast("double"), F.col("goal").cast("double")), F.lit(0.0)))
         words = F.greatest(F.lit(0), F.least("size", F.col("goal") - at)).cast("long")
         read = (at < F.col("goal")) | ((F.col("size") == 0) & F.lit(k == 0))
-        return F.when(read, F.struct(F.lit(k).alias("copy"), words.alias("words"), curriculum_time(part, schedule_start(F.col("rank"))).alias("position")))
+        return F.when(read, F.struct(F.lit(k).alias("copy"), words.alias("words"), curriculum_time(part, schedule_start(F.col("rank"))).alias("time")))
 
-    return mixed.withColumn("copies", F.filter(F.array(*map(one, range(cap))), lambda c: c.isNotNull()))
+    copies = F.filter(F.array(*map(one, range(cap))), lambda c: c.isNotNull())
+    drawn = lambda t: F.col("early") * t + F.col("late") * t * t
+    return mixed.withColumn("copies", F.transform(copies, lambda c: F.struct(c["copy"].alias("copy"), c["words"].alias("words"), c["time"].alias("time"), drawn(c["time"]).alias("position"))))
 
 
 def training_order(mixed: DataFrame, cap: int = 2) -> DataFrame:
-    """One row per copy of a document that the mix reads: doc_id, size, copy, words, position in [0, 1]."""
+    """One row per copy of a document that the mix reads: doc_id, size, copy, words, time in [0, 1], position in words."""
     copies = with_copies(mixed, cap).select("doc_id", "size", F.explode("copies").alias("c"))
-    return copies.select("doc_id", "size", "c.copy", "c.words", "c.position")
+    return copies.select("doc_id", "size", "c.copy", "c.words", "c.time", "c.position")
 
 
 def by_position(order: DataFrame) -> DataFrame:
@@ -125,8 +149,8 @@ def by_first_position(mixed: DataFrame, cap: int = 2) -> DataFrame:
 
 
 def in_training_order(docs: DataFrame, order: DataFrame, text: str = "text") -> DataFrame:
-    """The documents' rows once for each copy in order, range-sorted by position. Rows that share a doc_id are told apart
-    by their size, then by their turn."""
+    """The documents' rows once for each copy in order, range-sorted by position. Rows that share a doc_id, or have none, are
+    told apart by their size, then numbered: rows of one id and one size meet in one task."""
     a = docs.withColumn("__words", word_count(F.col(text)))
     a = a.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__words").orderBy(F.xxhash64(text))))
     nth = F.row_number().over(Window.partitionBy("doc_id", "size", "copy").orderBy("position"))

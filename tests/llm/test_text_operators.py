@@ -89,12 +89,24 @@ def test_mix(corpus, docs_of):
     assert mixing.mix(docs_of([])).count() == 0
 
 
+def test_mix_of_rows_that_share_an_id(docs_of):
+    """Equal rows, and rows without an id, each take their own words; together they reach the target."""
+    rows = [(None, f"w{k % 5} " * (k % 5), "en", "a", 0) for k in range(3 * mixing.BLOCK // 2)] + [(3, "x y", "en", "b", 0)] * 4 + [(4, None, "en", "b", 0)]
+    got = mixing.mix(docs_of(rows)).collect()
+    assert len(got) == len(rows)
+    for source in "ab":
+        own = [r for r in got if r["source"] == source]
+        assert sum(r["taken"] for r in own) == int(own[0]["target"]) and all(0 <= r["taken"] <= 2 * r["size"] for r in own)
+        starts = sorted((r["start"], r["size"]) for r in own if r["size"])
+        assert [a for a, _ in starts] == [sum(n for _, n in starts[:k]) for k in range(len(starts))]
+
+
 def test_training_order(corpus):
     order = mixing.training_order(mixing.mix(corpus))
     out = mixing.in_training_order(corpus, order)
     assert out.columns == corpus.columns
     assert sorted(r[0] for r in out.collect()) == sorted(r[0] for r in order.select("doc_id").collect())
-    assert all(0 <= r["position"] <= 1 for r in order.collect())
+    assert all(0 <= r["time"] <= 1 for r in order.collect())
 
 
 def drawn_at(part, start, steps=20_000):
@@ -121,7 +133,14 @@ def test_op4_goes_through_the_curriculum(spark, corpus, tmp_path):
                 want.append((r["doc_id"], copy, max(0, min(r["size"], r["goal"] - at)), drawn_at(min(1.0, part), 0.5 if r["rank"] % 2 else 1.5)))
     order = queries.op4_training_order(spark, str(tmp_path)).collect()
     key = lambda r: (r[0], r[1], r[2], r[3])
-    got = sorted(((r["doc_id"], r["copy"], r["words"], r["position"]) for r in order), key=key)
+    got = sorted(((r["doc_id"], r["copy"], r["words"], r["time"]) for r in order), key=key)
+    # A position is what all sources have drawn by then: the integral of their weights, times their goals.
+    goals = {(r["rank"], r["goal"]) for r in mixed}
+    for r in order:
+        start = {0: 1.5, 1: 0.5}
+        drawn = sum(g * (start[k % 2] * r["time"] + (1 - start[k % 2]) * r["time"] ** 2) for k, g in goals)
+        assert abs(drawn - r["position"]) < 1e-6 * max(1.0, drawn)
+    assert max(r["position"] for r in order) <= sum(g for _, g in goals) + 1e-6
     assert len(got) == len(want)
     for a, b in zip(got, sorted(want, key=key), strict=True):
         assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-3
@@ -130,10 +149,11 @@ def test_op4_goes_through_the_curriculum(spark, corpus, tmp_path):
     rows = queries.op4_mixing(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["taken"]) for r in rows) == sorted((r["doc_id"], r["taken"]) for r in mixed)
     first, last_read = {}, 0.0
-    for i, _, _, p in got:
-        first.setdefault(i, set()).add(p)
+    for r in order:
+        first.setdefault(r["doc_id"], set()).add(r["position"])
     for r in rows:
-        ahead = [p for p in first.get(r["doc_id"], {2.0}) if p >= last_read]
+        assert r["first_position"] is None or r["first_position"] in first[r["doc_id"]]
+        ahead = [p for p in first.get(r["doc_id"], {1e18}) if p >= last_read]
         assert ahead, "a document stands after one that is read later"
         last_read = min(ahead)
 
@@ -157,6 +177,43 @@ def test_bpe_equals_library(spark):
     assert bpe.digests(docs.limit(0), path).count() == 0
 
 
+def test_bpe_equals_library_on_all_code_points():
+    """Each code point between a letter and a digit, behind a mark, and under an accent."""
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public.path("word_bpe_49k.json")
+    t, v = tokenizers.Tokenizer.from_file(path), bpe.Vocabulary.read(path)
+    coder = bpe.Coder(v, bpe.Lexicon(bpe.compile_lexicon(v.whole_words())))
+    texts = [" ".join(f"a{chr(c)}x {chr(c)}1 .{chr(c)}\u0301" for c in range(k, k + 512) if not 0xD800 <= c < 0xE000) for k in range(0, 0x110000, 512)]
+    import unicodedata
+
+    marks = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.combining(chr(c))]
+    texts += [" ".join(f"b{a}{m} b{m}{a}" for m in marks) for a in "\u0334\u0327\u0316\u0301\u0315"]
+    texts.append(" ".join(x for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (x := unicodedata.normalize("NFD", chr(c))) != chr(c)))
+    for k, (text, want) in enumerate(zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True)):
+        assert list(array("I", coder.encode(text))) == want.ids, hex(512 * k)
+
+
+def test_bpe_merges_long_words_in_little_time():
+    """A heap gives the merges that the plain scan gives, and words of any length end."""
+    import random
+    import time
+
+    public = pytest.importorskip("public_tokenizers")
+    v = bpe.Vocabulary.read(public.path("word_bpe_49k.json"))
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdeorst", k=n)) for n in (65, 200, 900)] + ["a" * 300, "haha" * 100, "é" * 90]
+    short, bpe.LONG = bpe.LONG, 10**9
+    try:
+        want = [v.merge(w) for w in words]
+    finally:
+        bpe.LONG = short
+    assert [v.merge(w) for w in words] == want
+    began = time.time()
+    assert len(v.merge("".join(rng.choices("abcdeorst", k=300_000)))) > 1000
+    assert time.time() - began < 10
+
+
 def test_automaton_shares_suffixes_and_finds_all():
     words = {w: (k, k + 1) for k, w in enumerate(["walking", "talking", "walk", "talk", "talked", "walked", "é", "a"])}
     lexicon = bpe.Lexicon(bpe.compile_lexicon(words))
