@@ -8,7 +8,8 @@ expression. Learning sees at most MAX_LABELLED labelled rows, those of the small
 numbers on the driver; scoring sees every row.
 
 Cases: a null text has no words and fails the base rule; empty labels, or labels of one class, give an empty list,
-which keeps what passes the base rule; null labels are left out; repeated rows are scored alike.
+which keeps what passes the base rule; null labels are left out; repeated rows are scored alike;
+columns of docs that are named like a count don't matter, as only doc_id and the text are read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, drop_cut
 
 MAX_LABELLED = 20_000
 MAX_RULES, MAX_CONDITIONS, THRESHOLDS = 12, 3, 24
@@ -173,10 +175,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """The decision list from at most max_labelled labelled rows (doc_id, quality)."""
     some = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("l_quality"))
     some = F.broadcast(some.orderBy(F.xxhash64("l_id"), "l_id", "l_quality").limit(max_labelled))  # a bounded table
-    joined = docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "l_quality")
+    # Written first: else the counts of every document would be taken below the join, to learn from a few of them.
+    joined = cut(docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "l_quality"), "rules-labelled")
     counted = text_counts(joined, keep=("doc_id", "l_quality")).where(~base_failed())
     stats = statistics()
     rows = counted.select("doc_id", "l_quality", *[c.alias(n) for n, c in stats.items()]).orderBy(F.xxhash64("doc_id"), "doc_id", "l_quality", "words").limit(2 * max_labelled).collect()
+    drop_cut(joined)
     return learn_list([({n: r[n] for n in stats}, r["l_quality"] == 0) for r in rows])
 
 
