@@ -16,9 +16,12 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset and all runs in one
+    process (local tests). On a cluster without that setting there is no such folder, so it must be named."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='codefacts-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -3,11 +3,15 @@
 A logistic classifier reads each text's own evidence. Its probabilities, over all documents, are summed by path and host
 (grouped aggregation); each host's good rate is shrunk toward the global rate and each path's toward its host's, by
 prior strengths fitted to the spread between the groups (method of moments), so that sparse sites say little. A document's
-posterior log odds are its evidence plus its path's log odds, without its own part, less the global ones.
+posterior log odds are its evidence plus its path's log odds, without its own part, less the global ones. Host and path are
+columns that the caller names; where documents have no web address, a document's `source` is its host and its `lang` the
+path below it.
 
-The classifier is fitted on at most MAX_LABELLED labelled rows, those of the smallest hash of doc_id; all else covers all
+Texts are read once: the log odds are written to the shared folder with the columns that are asked for, and both the sums
+and the scores read them there. The classifier is fitted on at most MAX_LABELLED labelled rows, those of the smallest hash of doc_id; all else covers all
 rows. Cases: a null or empty text has its own evidence like any other; null hosts or paths are a site of their own;
-without labels of both classes every document is kept with score 0.5; repeated rows are scored alike.
+without labels of both classes every document is kept with score 0.5; repeated rows are scored alike; columns of docs that
+are named like a result give way to it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import and_fields, cut
+from .common import and_fields, cut, small_batches
 
-MAX_LABELLED = 20_000
+MAX_LABELLED, ROWS = 20_000, 1024
 STRENGTH = (1.0, 1e4)
 SYMBOLS, MARKS, DIGITS, UPPER = b"#*$%&|<>{}[]=_~^@\\/", b"!?", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NAMES = ("words", "word_length", "distinct_words", "symbols", "any_symbols", "shouts", "capitals", "digits", "repeated_lines", "line_words", "stops", "follows_itself")
@@ -71,24 +75,28 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
             x = np.array([features(t) for t in b.column(1).to_pylist()]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in x.T)], names=["y", *NAMES])
 
-    got = rows.mapInArrow(run, "y int, " + ", ".join(f"{n} double" for n in NAMES)).orderBy("y", *NAMES).toPandas().to_numpy(float)
+    found = rows.mapInArrow(run, "y int, " + ", ".join(f"{n} double" for n in NAMES))
+    # Labelled rows may share a doc_id, so their number is bounded again before they come to the driver, and sorted there.
+    got = found.orderBy(F.xxhash64("y", *NAMES), "y", *NAMES).limit(max_labelled).toPandas().to_numpy(float)
+    got = got[np.lexsort(got.T[::-1])]
     if not len(got) or len(set(got[:, 0] > 0)) < 2:
         return None
     return Model(got[:, 1:], (got[:, 0] > 0).astype(float))
 
 
-def evidence(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with the classifier's log odds as __logit. A narrow map that keeps all columns."""
-    given = docs.withColumn("__text", F.col("text").cast("binary"))
-    keep = list(docs.columns)
+def evidence(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns keep of docs with the classifier's log odds as __logit. A narrow map that sends each text once."""
+    given = docs.select(*keep, F.col(text).alias("__text")) if text not in keep else docs.select(*keep)
+    at = given.columns.index("__text" if text not in keep else text)
 
     def run(batches):
-        for b in batches:
-            texts = b.column(len(keep)).to_pylist()
-            logit = model.logit(np.array([features(t) for t in texts]).reshape(-1, len(NAMES))) if model else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(logit, pa.float64())], names=[*keep, "__logit"])
+        for whole in batches:
+            for b in (whole.slice(k, ROWS) for k in range(0, whole.num_rows, ROWS)):
+                texts = b.column(at).cast(pa.binary()).to_pylist()
+                logit = model.logit(np.array([features(t) for t in texts]).reshape(-1, len(NAMES)))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(logit, pa.float64())], names=[*keep, "__logit"])
 
-    return given.mapInArrow(run, and_fields(docs.schema, "__logit double"))
+    return given.mapInArrow(run, and_fields(docs.select(*keep).schema, "__logit double"))
 
 
 def strength(rates: DataFrame, low: float = STRENGTH[0], high: float = STRENGTH[1]) -> float:
@@ -105,37 +113,43 @@ def strength(rates: DataFrame, low: float = STRENGTH[0], high: float = STRENGTH[
     return float(np.clip(within / between - 1, low, high)) if between > 0 else high
 
 
-def posterior(docs: DataFrame, model: Model | None, host: str = "source", path: str = "lang") -> DataFrame:
-    """docs (all columns) with score, evidence, host_rate, path_rate and kept."""
+RESULTS = ("score", "evidence", "host_rate", "path_rate", "kept")
+
+
+def posterior(docs: DataFrame, model: Model | None, host: str = "source", path: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs (all, if None) with score, evidence, host_rate, path_rate and kept."""
+    keep = [c for c in keep or docs.columns if c not in RESULTS]
+    even = [*(F.lit(0.5).alias(c) for c in RESULTS[:-1]), F.lit(True).alias("kept")]
     if model is None:
-        half = F.lit(0.5)
-        return docs.select("*", half.alias("score"), half.alias("evidence"), half.alias("host_rate"), half.alias("path_rate"), F.lit(True).alias("kept"))
-    seen = evidence(docs, model)
-    sites = evidence(docs.select(F.col(host).alias("h"), F.col(path).alias("p"), "text"), model).select("h", "p", (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__logit")))).alias("good"))
+        return docs.select(*keep, *even)
+    sited = docs.select(*keep, *[F.col(c).alias(n) for c, n in ((host, "__h"), (path, "__p"))], *([] if "text" in keep else ["text"]))
+    with small_batches(docs.sparkSession, ROWS):
+        seen = cut(evidence(sited, model, [*keep, "__h", "__p"]), "quality-evidence")
+    sites = seen.select(F.col("__h").alias("h"), F.col("__p").alias("p"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__logit")))).alias("good"))
     paths = sites.groupBy("h", "p").agg(F.count("*").alias("n"), F.round(F.sum("good"), 6).alias("total"))
     paths = cut(paths, "quality-sites")
     hosts = paths.groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     n, total = hosts.agg(F.sum("n"), F.sum("total")).first()
     if not n:
-        return docs.select("*", *[F.lit(0.5).alias(c) for c in ("score", "evidence", "host_rate", "path_rate")], F.lit(True).alias("kept"))
+        return docs.select(*keep, *even)
     rate = min(max(total / n, 1e-6), 1 - 1e-6)
     of_host, of_path = strength(hosts), strength(paths)
     own = Window.partitionBy("h")
     table = paths.withColumns({"host_n": F.sum("n").over(own), "host_total": F.sum("total").over(own)}).select(
-        F.col("h").alias("__h"), F.col("p").alias("__p"), F.col("n").alias("__n"), F.col("total").alias("__total"), F.col("host_n").alias("__host_n"), F.col("host_total").alias("__host_total")
+        F.col("h").alias("__th"), F.col("p").alias("__tp"), F.col("n").alias("__n"), F.col("total").alias("__total"), F.col("host_n").alias("__host_n"), F.col("host_total").alias("__host_total")
     )
-    joined = seen.join(table, F.col(host).eqNullSafe(F.col("__h")) & F.col(path).eqNullSafe(F.col("__p")), "left")
+    joined = seen.join(table, F.col("__h").eqNullSafe(F.col("__th")) & F.col("__p").eqNullSafe(F.col("__tp")), "left")
     good = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__logit")))
     host_rate = (F.col("__host_total") - F.col("__good") + F.lit(of_host * rate)) / (F.col("__host_n") - 1 + F.lit(of_host))
-    path_rate = (F.col("__total") - F.col("__good") + F.lit(of_path) * F.col("host_rate")) / (F.col("__n") - 1 + F.lit(of_path))
+    path_rate = (F.col("__total") - F.col("__good") + F.lit(of_path) * F.col("__host_rate")) / (F.col("__n") - 1 + F.lit(of_path))
     log_odds = lambda c: F.log(c / (F.lit(1.0) - c))
     inside = lambda c: F.greatest(F.least(c, F.lit(1 - 1e-6)), F.lit(1e-6))
-    joined = joined.withColumn("__good", good).withColumn("host_rate", inside(host_rate)).withColumn("path_rate", inside(path_rate))
-    logit = F.col("__logit") + log_odds(F.col("path_rate")) - F.lit(float(np.log(rate / (1 - rate))))
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
-    keep = [c for c in docs.columns if c not in ("score", "evidence", "host_rate", "path_rate", "kept")]
-    return joined.withColumn("__score", score).select(*keep, F.col("__score").alias("score"), F.col("__good").alias("evidence"), "host_rate", "path_rate", (F.col("__score") >= 0.5).alias("kept"))
+    joined = joined.withColumn("__good", good).withColumn("__host_rate", inside(host_rate)).withColumn("__path_rate", inside(path_rate))
+    logit = F.col("__logit") + log_odds(F.col("__path_rate")) - F.lit(float(np.log(rate / (1 - rate))))
+    joined = joined.withColumn("__score", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)))
+    named = [F.col(f"__{c}").alias(n) for c, n in (("score", "score"), ("good", "evidence"), ("host_rate", "host_rate"), ("path_rate", "path_rate"))]
+    return joined.select(*keep, *named, (F.col("__score") >= 0.5).alias("kept"))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return posterior(docs, train(docs, labels))
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    return posterior(docs, train(docs, labels), keep=keep)
