@@ -3,7 +3,9 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,26 @@ def test_decision_list(labelled):
     assert wrong <= 4
     assert got[1000]["base_failed"] and not got[1000]["kept"] and got[1001]["base_failed"]
     assert quality_rules.learn(docs, labels.limit(0)) == []
+    assert quality_rules.apply_rules(docs.limit(0).withColumn("n_words", F.lit("x")), []).count() == 0
+
+
+def test_decision_list_by_hand():
+    """Rules cover rows in order: each one's own rows are judged by the first rule that covers them."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(900):
+        x = {"a": rng.random(), "b": rng.random(), "c": rng.random()}
+        rows.append((x, x["a"] > 0.8 or (x["b"] < 0.2 and x["c"] >= 0.5)))
+    rules = quality_rules.learn_list(rows)
+    covers = lambda rule, x: all(x[n] < v if sign == "<" else x[n] >= v for n, sign, v in rule)
+    assert 2 <= len(rules) <= quality_rules.MAX_RULES and all(1 <= len(r) <= quality_rules.MAX_CONDITIONS for r in rules)
+    left = rows
+    for rule in rules:
+        held = [bad for i, (x, bad) in enumerate(rows) if i % 3 == 0 and (x, bad) in left and covers(rule, x)]
+        assert held and (2 * sum(held) - len(held)) / len(held) >= quality_rules.MIN_WORTH
+        left = [r for r in left if not covers(rule, r[0])]
+    wrong = sum(any(covers(r, x) for r in rules) != bad for x, bad in rows)
+    assert wrong <= 0.06 * len(rows)
 
 
 def test_quality_classifier(labelled):
@@ -61,6 +83,34 @@ def test_quality_classifier(labelled):
     assert sum(got[i]["kept"] != (i % 5 != 0) for i in range(400)) <= 4
     assert all(r["kept"] for r in quality_classifier.classify(docs, labels.limit(0)).collect())
     assert quality_classifier.classify(docs.limit(0), labels).count() == 0
+    # Columns named like a result give way to it; repeated rows are scored alike.
+    clash = docs.withColumn("score", F.lit("x")).withColumn("kept", F.lit(7))
+    both = quality_classifier.classify(clash.unionByName(clash), labels)
+    assert sorted(both.columns) == sorted([*docs.columns, *quality_classifier.RESULTS])
+    assert Counter((r["doc_id"], r["kept"]) for r in both.collect()).most_common()[-1][1] == 2
+    assert quality_classifier.classify(clash, labels.limit(0)).columns == both.columns
+
+
+def test_posterior_by_hand(labelled, spark):
+    """Sums, shrinkage and posterior odds against plain Python over the same log odds."""
+    docs, labels = labelled
+    model = quality_classifier.train(docs, labels)
+    rows = docs.collect()
+    logit = {r["doc_id"]: float(model.logit(np.array([quality_classifier.features((r["text"] or "").encode())]))[0]) for r in rows}
+    good = {i: 1 / (1 + np.exp(-v)) for i, v in logit.items()}
+    sites, hosts = {}, {}
+    for r in rows:
+        for table, key in ((sites, (r["source"], r["lang"])), (hosts, r["source"])):
+            n, total = table.get(key, (0, 0.0))
+            table[key] = n + 1, total + good[r["doc_id"]]
+    rate = sum(good.values()) / len(good)
+    of_host, of_path = (quality_classifier.strength(spark.createDataFrame([(n, round(float(t), 6)) for n, t in x.values()], "n long, total double")) for x in (hosts, sites))
+    for r in quality_classifier.classify(docs, labels).collect():
+        g, (hn, ht), (pn, pt) = good[r["doc_id"]], hosts[r["source"]], sites[r["source"], r["lang"]]
+        host = min(max((ht - g + of_host * rate) / (hn - 1 + of_host), 1e-6), 1 - 1e-6)
+        path = min(max((pt - g + of_path * host) / (pn - 1 + of_path), 1e-6), 1 - 1e-6)
+        odds = logit[r["doc_id"]] + np.log(path / (1 - path)) - np.log(rate / (1 - rate))
+        assert abs(r["score"] - 1 / (1 + np.exp(-odds))) < 1e-4 and r["kept"] == (r["score"] >= 0.5)
 
 
 def test_shrinkage(spark):
@@ -83,6 +133,43 @@ def test_toxicity(labelled):
     s = model[1].score(read.read(near).astype(float))
     assert (s[:5] >= 0.5).all() and (s[5:] < 0.5).all()
     assert all(r["score"] == 0 for r in toxicity.score(docs, None).collect())
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    twice = toxicity.score(docs.limit(5).unionByName(docs.limit(5)).withColumn("score", F.lit("x")), model).collect()
+    assert len(twice) == 10 and len({(r["doc_id"], r["score"]) for r in twice}) == len({r["doc_id"] for r in twice})
+
+
+def test_toxicity_of_one_class(labelled):
+    """Labels of one class give that class's score to all texts; no labels give 0."""
+    docs, labels = labelled
+    for some, want in ((labels.where("toxic = 1"), 1.0), (labels.where("toxic = 0"), 0.0), (labels.limit(0), 0.0), (labels.withColumn("toxic", F.lit(None).cast("int")), 0.0)):
+        assert {r["score"] for r in toxicity.score(docs, toxicity.train(docs, some)).collect()} == {want}
+
+
+def test_kernel_by_hand():
+    """Weights against a plain count of the landmark's runs in all subsequences of the piece."""
+    landmarks = ["loser", "scum", "aab"]
+    kernel = toxicity.Kernel(landmarks)
+    for word in ("loser", "lloosseerr", "closet", "s.c.u.m", "sxcxuxm", "aaab", "a", "", "é" * 40):
+        for piece in toxicity.pieces_of(word):
+            got = kernel.rows([piece])[0]
+            for k, z in enumerate(f"^{w}$" for w in landmarks):
+                runs = {z[i : i + 3] for i in range(len(z) - 2)}
+                n = len(piece)
+                best = {u: max([toxicity.DECAY ** (c - a - 2) for a in range(n) for b in range(a + 1, n) for c in range(b + 1, n) if c - a - 2 <= toxicity.MAX_SKIP and piece[a] + piece[b] + piece[c] == u], default=0.0) for u in runs}
+                want = toxicity.step(np.float64(sum(best.values()) / len(runs)), *toxicity.STEP) if sum(v > 0 for v in best.values()) > 1 else 0.0
+                assert abs(got[k] - want) < 1e-5, (piece, z)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no tables here")
+def test_toxicity_of_held_out_rows(spark):
+    """Held-out labels of the tables: some marked texts hold no sign of it at all, so recall stays below 1."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs, toxicity.train(docs, labels)).where("held_out").join(labels.where("toxic is not null"), "doc_id").select("score", "toxic").collect()
+    s, y = np.array([r["score"] for r in got]), np.array([r["toxic"] for r in got])
+    pairs = s[y == 1][:, None] - s[y == 0][None, :]
+    auc = ((pairs > 0) + 0.5 * (pairs == 0)).mean()
+    print(f"held out: {len(y)} rows, {y.sum()} toxic, AUC {auc:.4f}, accuracy {((s >= 0.5) == y).mean():.4f}, recall {(s[y == 1] >= 0.5).mean():.4f}, false alarms {(s[y == 0] >= 0.5).mean():.4f}")
+    assert auc > 0.97 and ((s >= 0.5) == y).mean() > 0.975 and (s[y == 0] >= 0.5).mean() < 0.01
 
 
 def test_toxicity_of_words_with_inserted_letters(labelled):
