@@ -36,11 +36,39 @@ def test_extract_keeps_figures():
     assert html_extraction.extract(page) == "A text, long enough, to count as one.\nThe caption.\nx = 1\nA quotation.\nA label."
 
 
+def test_extract_keeps_text_that_is_no_furniture():
+    """Formulas in a sentence, subjects that share a word with furniture, and single links are text; menus in an article aren't."""
+    page = "<article><h1>T</h1><p>A sum, say <math><mi>x</mi><mo>+</mo><mi>y</mi></math>, is long enough to count.</p><p class='legal'>The law, as it stands, says so.</p>"
+    page += "<p class='notice-of-appeal'>The notice was filed, in time, by the court.</p><p><a href=x>One link</a></p><ul><li><a>a one</a></li><li><a>b two</a></li><li><a>c three</a></li></ul>"
+    page += "<p class='comments'>gone</p><p class='cookie-notice'>gone too</p><ul><li>item <a>one</a> of them, with words</li><li>two, <a>b</a></li><li>three</li></ul></article>"
+    want = "T\nA sum, say x+y, is long enough to count.\nThe law, as it stands, says so.\nThe notice was filed, in time, by the court.\nOne link\nitem one of them, with words\ntwo, b\nthree"
+    assert html_extraction.extract(page) == want
+
+
+def test_extract_scores_choose():
+    """Between two articles the score decides, and a declared element of links loses to a plain container of text."""
+    text = "<p>A sentence, with commas, that is long enough to earn points.</p>"
+    assert html_extraction.extract(f"<body><article><p>Short, a little one, no more than that.</p></article><article>{text * 4}</article></body>").count("earn points") == 4
+    menu = "".join(f"<li><a>entry number {k}, of a long list</a></li>" for k in range(9))
+    assert "entry" not in html_extraction.extract(f"<body><main><ul>{menu}</ul></main><div id=x>{text * 3}</div></body>")
+
+
+@pytest.mark.parametrize("page", ["<div>a, b and more words than twenty-five letters " * 40_000, "<div><p>x, y" + "<b>" * 60_000 + "</i>" * 60_000, "<p>word, word " * 80_000, "<table>" + "<tr><td>cell, cell " * 40_000, "<i><div>" + "<b>x" * 50_000 + "</i>" * 50_000])
+def test_extract_of_long_and_deep_pages(page):
+    import time
+
+    began = time.time()
+    assert html_extraction.extract(page)
+    assert time.time() - began < 10
+
+
 def test_extract_keeps_other_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é</p>", 5), (1, "u", "<p>é</p>", 5), (2, None, None, 6)], "page_id long, url string, html string, n_chars long")
     got = sorted(map(tuple, html_extraction.extract_main_text(pages).select("page_id", "url", "text", "n_chars").collect()), key=str)
     assert got == [(1, "u", "é", 1), (1, "u", "é", 1), (2, None, "", 0)]
     assert html_extraction.extract_main_text(pages.limit(0)).count() == 0
+    clash = html_extraction.extract_main_text(pages.selectExpr("page_id", "'old' AS text", "html"))
+    assert clash.columns == ["page_id", "text", "n_chars"] and {r["text"] for r in clash.collect()} == {"é", ""}
 
 
 def test_chat_round_trip(spark):
