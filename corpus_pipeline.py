@@ -16,8 +16,10 @@ from codefacts.llm.queries import vocabulary_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    return quality_classifier.classify(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    """Documents that the quality classifier keeps, with all their columns, those too that are named like its results."""
+    own = {c: f"__own_{c}" if c in quality_classifier.RESULTS else c for c in docs.columns}
+    found = quality_classifier.classify(docs.select(*[F.col(c).alias(n) for c, n in own.items()]), table(spark, sf_dir, "labels"))
+    return found.where("kept").select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +66,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Trained models, connected components and token merges have no SQL form; tests compare run() with a brute-force version.
+#: Trained models, connected components and token merges have no SQL form; a test compares run() with plain Python over whole texts.
 ORACLE_SQL = None
 
 
