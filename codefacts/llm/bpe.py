@@ -72,24 +72,39 @@ def hexes(listed: str) -> list[list[int]]:
 
 
 @cache
-def char_class(major: str) -> str:
-    """The inside of a bracket expression: all code points of a major category, L or N."""
-    inside = np.array([unicodedata.category(chr(c))[0] == major for c in range(sys.maxunicode + 1)])
+def char_class(major: str, below: int = sys.maxunicode + 1) -> str:
+    """The inside of a bracket expression: all code points of a major category, L or N, below a bound."""
+    inside = np.array([unicodedata.category(chr(c))[0] == major for c in range(below)])
     for a, z in hexes(NEWER_LETTERS if major == "L" else NEWER_DIGITS):
         inside[a : z + 1] = True
     edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     return "".join(f"\\U{a:08x}-\\U{z - 1:08x}" for a, z in edges.reshape(-1, 2).tolist())
 
 
-IS_UNKNOWN_MARK = re.compile("([" + "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in hexes(UNKNOWN_MARKS)) + "])")
 SMALL = {a + k: small + k for a, z, small in hexes(NEWER_CAPITALS) for k in range(z - a + 1)}
-HAS_NEWER_CAPITAL = re.compile("[" + "".join(map(chr, SMALL)) + "]")
+
+
+def any_of(ranges: list[list[int]], below: int) -> re.Pattern:
+    inside = "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z, *_ in ranges if a < below)
+    return re.compile(f"([{inside}])") if inside else re.compile("(?!)")
+
+
+#: By the bytes that a string takes for each code point; the engine tries ranges from 0x10000 on one by one, so narrower texts are spared them.
+BOUNDS = {1: 0x100, 2: 0x10000, 4: sys.maxunicode + 1}
+UNKNOWN_MARK = {w: any_of(hexes(UNKNOWN_MARKS), bound) for w, bound in BOUNDS.items()}
+NEWER_CAPITAL = {w: any_of(hexes(NEWER_CAPITALS), bound) for w, bound in BOUNDS.items()}
+
+
+def width(text: str) -> int:
+    """Bytes for each code point of a string, or more if it is short."""
+    size, n = sys.getsizeof(text), len(text)
+    return 4 if size >= 4 * n else 2 if size >= 2 * n else 1
 
 
 def lower(text: str) -> str:
     """Small letters, letter by letter: a sigma at a word's end is an ordinary one."""
-    text = text.replace("Σ", "σ").lower()
-    return text.translate(SMALL) if HAS_NEWER_CAPITAL.search(text) else text
+    w, text = width(text), text.replace("Σ", "σ").lower()
+    return text.translate(SMALL) if w > 1 and NEWER_CAPITAL[w].search(text) else text
 
 
 def byte_alphabet() -> list[str]:
@@ -200,7 +215,10 @@ class Lexicon:
 
 
 def composed(text: str) -> str:
-    return "".join(unicodedata.normalize("NFC", part) for part in IS_UNKNOWN_MARK.split(text)) if IS_UNKNOWN_MARK.search(text) else unicodedata.normalize("NFC", text)
+    w = width(text)
+    if w > 1 and UNKNOWN_MARK[w].search(text):
+        return "".join(unicodedata.normalize("NFC", part) for part in UNKNOWN_MARK[w].split(text))
+    return unicodedata.normalize("NFC", text)
 
 
 class Vocabulary:
@@ -213,7 +231,8 @@ class Vocabulary:
         for t, i in [*self.ids.items(), *self.special.items()]:
             self.tokens[i] = t
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = re.compile(pattern.replace(r"\p{L}", char_class("L")).replace(r"\p{N}", char_class("N")).replace(r"\s", SPACES))
+        of = lambda letters, digits: re.compile(pattern.replace(r"\p{L}", letters).replace(r"\p{N}", digits).replace(r"\s", SPACES))
+        self.words = {w: of(char_class("L", bound), char_class("N", bound)) for w, bound in BOUNDS.items()}
         # In an ASCII text, letters are A to Z and digits 0 to 9.
         self.ascii_words = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r "))
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -273,14 +292,15 @@ class Vocabulary:
                 word = bytes(back[c] for c in token[: -len(END)]).decode()
             except (KeyError, UnicodeDecodeError):
                 continue
-            if self.words.findall(word) == [word]:
+            if self.words[4].findall(word) == [word]:
                 found[word] = self.merge(word)
         return found
 
     def split(self, piece: str) -> list[str]:
         if piece.isascii():
             return self.ascii_words.findall(piece.lower())
-        return self.words.findall(lower(composed(piece)))
+        piece = lower(composed(piece))
+        return self.words[width(piece)].findall(piece)
 
 
 class Coder:
