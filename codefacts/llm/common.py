@@ -31,13 +31,29 @@ def scratch(spark: SparkSession) -> str:
 BLOBS = {"parquet.block.size": str(1 << 23), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8", "parquet.enable.dictionary": "false", "compression": "zstd"}
 
 
+_RECORDS: list[list[DataFrame]] = []
+
+
+class recorded(list):
+    """While open, collects the tables that cut() writes, for a caller who knows when nothing reads them any more."""
+
+    def __enter__(self):
+        _RECORDS.append(self)
+        return self
+
+    def __exit__(self, *_):
+        _RECORDS.remove(self)
+
+
 def cut(df: DataFrame, name: str = "cut", blobs: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**BLOBS if blobs else {}).parquet(path)
+    df.write.options(**BLOBS if blobs else {"compression": "zstd"}).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._cut_path = path
+    for r in _RECORDS:
+        r.append(back)
     return back
 
 

@@ -37,6 +37,74 @@ def test_stages(spark, small):
     assert digest(run.collect()) == digest(seen["bpe"])
 
 
+def test_run_equals_plain_python(spark, small):
+    """The whole pipeline against a plain version over whole texts; only the classifier's verdict is taken from it."""
+    import hashlib
+    from array import array
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    from codefacts.llm import mixing, quality_classifier
+    from tests.llm.test_duplicates_and_neighbours import brute_fingerprint, components
+
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    good = {r["doc_id"] for r in quality_classifier.classify(docs, labels).where("kept").collect()}
+    rows = {r["doc_id"]: r.asDict() for r in docs.collect() if r["doc_id"] in good}
+    fp = {i: brute_fingerprint(r["text"]) for i, r in rows.items()}
+    group = components(sorted(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 3)
+    rows = {i: r for i, r in rows.items() if group[i] == i}
+    first = {}
+    for i in sorted(rows):
+        data = (rows[i]["text"] or "").encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - 49):
+            if first.setdefault(data[p : p + 50], i) < i:
+                gone[p : p + 50] = b"\1" * 50
+        rows[i]["text"] = None if rows[i]["text"] is None else bytes(c for c, g in zip(data, gone) if not g).decode("utf-8", "ignore")
+    words = {i: len((r["text"] or "").split()) for i, r in rows.items()}
+    sources = sorted({r["source"] for r in rows.values()}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(words[i] for i, r in rows.items() if r["source"] == s) for s in sources}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}
+    left, full, target = 1.5 * sum(size.values()), set(), {}
+    while True:
+        level = left / max(sum(weight[s] for s in sources if s not in full), 1e-9)
+        new = {s for s in sources if s not in full and level * weight[s] >= 2 * size[s]}
+        if not new:
+            break
+        for s in new:
+            target[s] = 2.0 * size[s]
+            left -= target[s]
+        full |= new
+    target |= {s: level * weight[s] for s in sources if s not in full}
+    tokenizer = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    want = []
+    for s in sources:
+        start, goal = 0, int(target[s])
+        for i in sorted((i for i, r in rows.items() if r["source"] == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+            ids = tokenizer.encode(rows[i]["text"] or "", add_special_tokens=False).ids
+            digest = hashlib.sha256(array("I", ids).tobytes()).hexdigest()
+            want += [(i, len(ids), digest)] * sum(start + k * size[s] < goal or (words[i] == 0 and k == 0) for k in range(2))
+            start += words[i]
+    got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in pipeline.run(spark, small).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_stages_of_an_empty_table_and_clashing_columns(spark, small, docs_of):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    pytest.importorskip("public_tokenizers")
+    from codefacts.llm.common import cut
+
+    odd = spark.read.parquet(f"{small}/documents.parquet").selectExpr("*", "'k' AS kept", "1 AS size", "2 AS score", "'t' AS taken", "3 AS component_id", "'f' AS fp", "4 AS position")
+    for docs in (odd.limit(0), odd):
+        for k, (name, stage) in enumerate(pipeline.STAGES):
+            after = cut(stage(spark, docs, small))
+            if k < 4:
+                assert after.columns == docs.columns, name
+                assert docs.isEmpty() == after.isEmpty() and {(r["kept"], r["position"]) for r in after.collect()} <= {("k", 4)}
+                docs = after
+
+
 def test_near_copies_of_rows_that_share_an_id(spark, docs_of):
     """Different texts under one doc_id, or under none, all stay; of each group of near copies one row does."""
     pipeline = pytest.importorskip("corpus_pipeline")
