@@ -7,11 +7,13 @@ they hold.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefacts.llm import bpe, mixing, quality_classifier, simhash, suffix_dedup
-from codefacts.llm.common import cut, table
+from codefacts.llm.common import cut, drop_cut, recorded, table
 from codefacts.llm.queries import vocabulary_path
 
 
@@ -58,12 +60,32 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, vocabulary_path(), with_ids=True)
 
 
+_LEFT: list[DataFrame] = []
+
+
+def sweeping(stage):
+    """The stage, with the scratch of earlier stages deleted first."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _LEFT:
+            old = _LEFT.pop()
+            if old.sparkSession.sparkContext._jsc is not None:  # a session that has ended took its folder along
+                drop_cut(old)
+        with recorded() as tables:
+            out = stage(spark, docs, sf_dir)
+        _LEFT.extend(tables)
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_classifier", keep_quality),
-    ("simhash_near_dedup", drop_near_copies),
-    ("suffix_array_dedup", cut_repeats),
-    ("mixing", mix_sources),
-    ("bpe", encode),
+    ("quality_classifier", sweeping(keep_quality)),
+    ("simhash_near_dedup", sweeping(drop_near_copies)),
+    ("suffix_array_dedup", sweeping(cut_repeats)),
+    ("mixing", sweeping(mix_sources)),
+    ("bpe", sweeping(encode)),
 ]
 
 #: Trained models, connected components and token merges have no SQL form; a test compares run() with plain Python over whole texts.
