@@ -43,7 +43,7 @@ SPAN, NAMED = 50, 38
 MODULUS, COVER = 13, (0, 1, 3, 9)
 #: How far before a sampled tuple a string of SPAN bytes that holds it can start.
 REACH = MODULUS - 1
-CHUNK, NO_ID = 1 << 21, (1 << 63) - 1
+CHUNK, NO_ID = 1 << 20, (1 << 63) - 1
 #: Bytes of text for each bucket of names and of tuples.
 NAME_BUCKET, TUPLE_BUCKET = 1 << 22, 1 << 21
 LAST = (1 << 31) - 1
@@ -76,7 +76,9 @@ def arrow(**kinds) -> pa.Schema:
 
 
 def rows_of(batches):
-    return (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+    pa.default_memory_pool().release_unused()  # the worker lives on, in other stages
 
 
 # ---- pieces and chunks
@@ -125,11 +127,10 @@ class Chunk:
         # Room for a tuple's surroundings on both sides.
         self.data = np.frombuffer(bytes(REACH) + unblob(data) + bytes(SPAN + 8), np.uint8)
         self.first = np.cumsum(self.lens) - self.lens + REACH
-        n, end = int(self.lens.sum()), np.repeat(self.first + self.lens, self.lens)
-        at = np.concatenate([np.arange(r, n, MODULUS) for r in COVER])
-        at = at[at + REACH + NAMED <= end[at]]
-        self.piece = np.repeat(np.arange(len(self.lens)), self.lens)[at]
-        self.at = at + REACH
+        at = np.concatenate([np.arange(r, int(self.lens.sum()), MODULUS) for r in COVER])
+        piece = np.repeat(np.arange(len(self.lens), dtype=np.int32), self.lens)[at]
+        inside = at + REACH + NAMED <= (self.first + self.lens)[piece]
+        self.at, self.piece = at[inside] + REACH, piece[inside]
         self.name = names(self.data, self.at)
         self.doc = self.docs[self.piece]
 
@@ -245,8 +246,11 @@ class Tuples:
             full ^= full >> np.uint64(32)
         # By bucket and name, so that the groups of a bucket stand together; inside by all 64 bytes' hash.
         order = np.lexsort((full, chunk.name[hit]))
-        w = words[order]
-        new = np.append(True, (w[1:] != w[:-1]).any(axis=1)) if len(w) else np.zeros(0, bool)
+        new = np.ones(len(order), bool)
+        for k in range(8):
+            w = words[:, k][order]
+            new[1:] &= w[1:] == w[:-1]  # so far: equal to the one before
+        new[1:] = ~new[1:]
         start, group = np.flatnonzero(new), np.cumsum(new) - 1
         doc = chunk.doc[hit][order]
         self.least = np.minimum.reduceat(doc, start) if len(start) else doc
@@ -288,7 +292,7 @@ def ranks(group: np.ndarray, side: np.ndarray) -> np.ndarray:
     differs = s[1:] != s[:-1]
     shared = np.where(differs.any(axis=1), differs.argmax(axis=1), REACH)
     shared[g[1:] != g[:-1]] = -1
-    out = np.empty((REACH + 1, len(group)), np.int64)
+    out = np.empty((REACH + 1, len(group)), np.int32)
     for k in range(REACH + 1):
         out[k, order] = np.append(0, np.cumsum(shared < k))
     return out
@@ -312,7 +316,7 @@ def later_windows(around: np.ndarray, doc: np.ndarray) -> np.ndarray:
         has = np.flatnonzero(valid >> k & 1)
         if not len(has):
             continue
-        string = left[k, has] * (len(many) + 1) + right[REACH - k, has]
+        string = left[k, has].astype(np.int64) * (len(many) + 1) + right[REACH - k, has]
         o = np.argsort(string)
         s = string[o]
         start = np.append(True, s[1:] != s[:-1])
