@@ -37,7 +37,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import and_fields
+from .common import and_fields, text_batches
 
 CACHE_WORDS, CACHE_LETTERS, ROWS = 250_000, 64, 512
 END = "</w>"
@@ -361,6 +361,7 @@ def ship_lexicon(spark, vocabulary_path: str, more_words: tuple[str, ...] = ())
 def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", into: str = "ids", more_words: tuple[str, ...] = ()) -> DataFrame:
     """docs with the ids of text as packed little-endian unsigned 32-bit integers in column into. A narrow map."""
     name = ship_lexicon(docs.sparkSession, vocabulary_path, more_words)
+    text_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -376,6 +377,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", into: str
 def digests(docs: DataFrame, vocabulary_path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """Per document: doc_id, number of ids, digest of the ids, digest of the text decoded from the ids, and the ids if wanted."""
     name = ship_lexicon(docs.sparkSession, vocabulary_path)
+    text_batches(docs.sparkSession)
     given = docs.select("doc_id", F.col(text).alias("text"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 

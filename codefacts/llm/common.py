@@ -94,6 +94,13 @@ class small_batches:
             self.spark.conf.set(k, v)
 
 
+def text_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Let Arrow batches hold at most `rows` rows in this session: rows of texts are long, and a batch stands in the executor, on
+    its way and in the worker at once. A lower setting stays."""
+    if int(spark.conf.get(small_batches.KEYS[0])) > rows:
+        spark.conf.set(small_batches.KEYS[0], str(rows))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are done: it does so when the driver collects its garbage."""
     for _ in range(2):  # what the first round frees may have held more

@@ -25,7 +25,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import and_fields
+from .common import and_fields, text_batches
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
@@ -277,6 +277,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", into: str = "text")
     """
     keep = [c for c in pages.columns if c not in (html, into, "n_chars")]
     given = pages.select(*keep, html)
+    text_batches(pages.sparkSession)
     schema = and_fields(given.select(*keep).schema, f"{into} string, n_chars long")
 
     def run(batches):

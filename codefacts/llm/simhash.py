@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from codefacts.operators.graph import connected_components
 
-from .common import cut
+from .common import cut, text_batches
 
 SEED, BITS, MIN_SHARED = 42, 3, 5
 #: Triples of byte positions such that any five positions hold one: five positions put three into one half.
@@ -53,6 +53,7 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long. A narrow map."""
     given = docs.select("doc_id", F.col(text).cast("binary").alias("text"))
+    text_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

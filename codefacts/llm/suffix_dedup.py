@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import and_fields, cut, drop_cut, release, small_batches
+from .common import and_fields, cut, drop_cut, release, small_batches, text_batches
 
 SPAN, NAMED = 50, 38
 #: A perfect difference set: every remainder modulo 13 is the difference of two of these.
@@ -461,23 +461,34 @@ def cut_out(data: bytes, copy: bool | None, packed_runs: list[bytes] | None) ->
     return b"".join(keep), runs
 
 
+def with_runs(docs: DataFrame, keep: list[str], text: str, chunk_bytes: int) -> DataFrame:
+    """The columns keep of docs, then __data, __copy and __runs: the text's bytes and what goes."""
+    runs = repeated_runs(docs, text, chunk_bytes)
+    text_batches(docs.sparkSession)
+    doc_id, mark = row_key(text)
+    joined = docs.join(runs, (doc_id == F.col("k_id")) & (mark == F.col("k_mark")), "left")
+    return joined.select(*[docs[c] for c in keep], F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("__data"), runs["copy"].alias("__copy"), runs["runs"].alias("__runs"))
+
+
+def cut_batches(batches, keep: int):
+    """(batch, texts' bytes, [(what remains, runs)]) of some rows at a time."""
+    for whole in batches:
+        for b in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
+            data, copy, gone = (b.column(keep + k).to_pylist() for k in range(3))
+            yield b, data, [cut_out(*x) for x in zip(data, copy, gone, strict=True)]
+
+
 def dedup(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
     """docs with `kept` (the remaining bytes, as binary), `n_bytes`, `n_removed` and `n_spans` added; all rows stay."""
-    runs = repeated_runs(docs, text, chunk_bytes)
     keep = [c for c in docs.columns if c not in RESULTS]
-    doc_id, mark = row_key(text)
-    given = docs.join(runs, (doc_id == F.col("k_id")) & (mark == F.col("k_mark")), "left").select(*[docs[c] for c in keep], F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("__data"), runs["copy"].alias("__copy"), runs["runs"].alias("__runs"))
     schema = and_fields(docs.select(*keep).schema, "kept binary, n_bytes long, n_removed long, n_spans long")
 
     def run(batches):
-        for whole in batches:
-            for b in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
-                data, copy, gone = (b.column(len(keep) + k).to_pylist() for k in range(3))
-                done = [cut_out(*x) for x in zip(data, copy, gone, strict=True)]
-                cols = [pa.array([k for k, _ in done], pa.binary()), pa.array([len(x) for x in data], pa.int64()), pa.array([sum(z - a for a, z in r) for _, r in done], pa.int64()), pa.array([len(r) for _, r in done], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[*keep, *RESULTS])
+        for b, data, done in cut_batches(batches, len(keep)):
+            cols = [pa.array([k for k, _ in done], pa.binary()), pa.array([len(x) for x in data], pa.int64()), pa.array([sum(z - a for a, z in r) for _, r in done], pa.int64()), pa.array([len(r) for _, r in done], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[*keep, *RESULTS])
 
-    return given.mapInArrow(run, schema)
+    return with_runs(docs, keep, text, chunk_bytes).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
@@ -485,19 +496,19 @@ def digests(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK) -> Da
     return dedup(narrow, chunk_bytes=chunk_bytes).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
     """docs with the remaining bytes as text (a character that is cut goes whole) and n_chars, if there, to match."""
-    renamed = docs.select(*[F.col(c).alias(f"__c{k}") if c in RESULTS else F.col(c) for k, c in enumerate(docs.columns)])
-    keep, own = list(docs.columns), list(renamed.columns)
-    left = dedup(renamed, text).select(*own, F.col("kept").alias("__kept"))
+    names = list(docs.columns)
+    keep = [c for c in names if c != text]  # the bytes that travel are the text
+    given = with_runs(docs.withColumn("__none", F.col(text).isNull()), [*keep, "__none"], text, chunk_bytes)
 
     def run(batches):
-        for b in batches:
-            old, kept = b.column(own.index(text)).to_pylist(), b.column(len(own)).to_pylist()
-            texts = [None if t is None else k.decode("utf-8", "ignore") for t, k in zip(old, kept, strict=True)]
-            new = {text: pa.array(texts, pa.string())}
+        for b, _, done in cut_batches(batches, len(keep) + 1):
+            none = b.column(len(keep)).to_pylist()
+            texts = [None if n else k.decode("utf-8", "ignore") for (k, _), n in zip(done, none, strict=True)]
+            new = dict(zip(keep, b.columns, strict=False)) | {text: pa.array(texts, pa.string())}
             if "n_chars" in keep:
                 new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], b.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays([new.get(c, b.column(k)) for k, c in enumerate(keep)], names=keep)
+            yield pa.RecordBatch.from_arrays([new[c] for c in names], names=names)
 
-    return left.mapInArrow(run, docs.schema)
+    return given.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, text_batches
 
 MAX_LABELLED, LANDMARKS, AGAINST, FOLDS = 20_000, 96, 48, 5
 DECAY, MAX_SKIP = 0.93, 4
@@ -301,6 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted). A narrow map; the model is a fixed few MB."""
     given = docs.select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), "text")
+    text_batches(docs.sparkSession, 4096)  # a batch's words are looked up once
     fixed = isinstance(model, float) or model is None
 
     def run(batches):
