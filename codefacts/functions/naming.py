@@ -13,22 +13,25 @@ def upper_snake(name: Column) -> Column:
 
 def camel(name: Column) -> Column:
     """The first letter small."""
-    head, letter, tail = (F.regexp_extract(name, "^([^A-Za-z]*)([A-Za-z]?)((?s:.*))$", k) for k in (1, 2, 3))
+    head, letter, tail = (F.regexp_extract(name, "^([^\\p{L}]*)(\\p{L}?)((?s:.*))$", k) for k in (1, 2, 3))
     return F.concat(head, F.lower(letter), tail)
 
 
 def pascal(name: Column) -> Column:
-    """Parts between underscores begin with a capital and are joined; leading underscores stay."""
+    """Parts between underscores begin with a capital, go on in small letters and are joined; leading underscores stay. A name
+    of one part only gets its capital."""
     lead, rest = (F.regexp_extract(name, "^(_*)((?s:.*))$", k) for k in (1, 2))
     parts = F.filter(F.split(rest, "_"), lambda p: p != "")
-    return F.concat(lead, F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))), ""))
+    tail = lambda p: F.substring(p, 2, 1 << 30)
+    many = F.contains(rest, F.lit("_"))
+    return F.concat(lead, F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.when(many, F.lower(tail(p))).otherwise(tail(p)))), ""))
 
 
 def breaks_style(name: Column, style: str) -> Column:
     """Whether the first letter has the wrong case for camelCase or PascalCase; names of one letter are exempt."""
-    letter = F.regexp_extract(name, "([A-Za-z])", 1)
+    letter = F.regexp_extract(name, "(\\p{L})", 1)
     wrong = letter != (F.lower(letter) if style == "camelCase" else F.upper(letter))
-    return F.when(F.regexp_count(name, F.lit("[A-Za-z]")) <= 1, F.lit(False)).otherwise(wrong)
+    return F.when(F.regexp_count(name, F.lit("\\p{L}")) <= 1, F.lit(False)).otherwise(wrong)
 
 
 def last_part(name: Column) -> Column:
@@ -42,14 +45,16 @@ def squeeze(text: Column, most: int) -> Column:
 
 
 def align_up(value: Column, to: Column) -> Column:
-    """value raised to a multiple of a power of two; null for other alignments."""
+    """value raised to a multiple of a power of two; null for other alignments and beyond the range of long."""
+    value, to = value.cast("long"), to.cast("long")
     ok = (to > 0) & (to.bitwiseAND(to - 1) == 0)
-    return F.when(ok, ((value + to - 1) / to).cast("long") * to)
+    return F.when(ok, F.try_add(value, to - 1).bitwiseAND(-to))
 
 
 def rule_of_comment(tail: Column) -> Column:
-    """The rule that a suppression names: what stands before ` -- ` or a dash, trimmed; null if empty."""
-    return F.nullif(F.trim(F.split(tail, " -- |—")[0]), F.lit(""))
+    """The rule that a suppression names: what stands before ` -- `, or before a dash if there is none, trimmed; null if empty."""
+    before = F.when(F.contains(tail, F.lit(" -- ")), F.substring_index(tail, " -- ", 1)).otherwise(F.substring_index(tail, "—", 1))
+    return F.nullif(F.trim(before), F.lit(""))
 
 
 def line_ending(text: Column) -> Column:

@@ -33,10 +33,16 @@ def samples(rows: DataFrame, group: list[str], order: list[Column], n: int = 3)
     return rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
 
 
-def kept_blank_lines(lines: DataFrame, key: str, order: str, text: str, most: int) -> DataFrame:
-    """Lines without those blank ones that follow `most` blank ones, and without blank lines at a file's end."""
+def is_blank(text: str) -> Column:
+    """Nothing but white space, tabs included."""
+    return F.col(text).rlike("^\\s*$")
+
+
+def kept_blank_lines(lines: DataFrame, key: str, order: str, text: str, most: int, protected: Column | None = None) -> DataFrame:
+    """Lines without those blank ones that follow `most` blank ones, and without blank lines at a file's end. Protected lines
+    count as text: they stay, and the count starts anew behind them."""
     w = Window.partitionBy(key).orderBy(order)
-    blank = F.trim(text) == ""
+    blank = is_blank(text) & ~(protected if protected is not None else F.lit(False))
     island = F.sum(F.when(blank, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     marked = lines.withColumn("__blank", blank).withColumn("__island", island)
     nth = F.row_number().over(Window.partitionBy(key, "__island", "__blank").orderBy(order))
@@ -48,7 +54,7 @@ def kept_blank_lines(lines: DataFrame, key: str, order: str, text: str, most: in
 def alignment_widths(lines: DataFrame, key: str, order: str, text: str, width: Column) -> DataFrame:
     """Per block of lines between blank ones: how many lines, and the widest."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    blank = F.trim(text) == ""
+    blank = is_blank(text)
     marked = lines.withColumn("__blank", blank).withColumn("block", F.sum(F.when(blank, 1).otherwise(0)).over(w)).where(~F.col("__blank"))
     return marked.groupBy(key, "block").agg(F.count("*").alias("n_lines"), F.max(width).alias("width"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only where that is unset, as in local tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='codefacts-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -44,7 +47,7 @@ def _print_of(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches, itself included.
 
     Alternating large-star and small-star rounds; a round moves each node at most to one smaller neighbour, so a hub
@@ -53,9 +56,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     a, b = F.greatest(src, dst), F.least(src, dst)
     pairs = materialize(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).select(a.alias("u"), b.alias("v")).distinct())
     before = _print_of(pairs)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -68,30 +69,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_rounds: int = 200) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node, hops): every node each start reaches, itself included, with the fewest edges. starts (start).
 
     Semi-naive: a round joins only the pairs found in the one before, and pairs already known are dropped by an anti join.
     """
     e = edges.select("src", "dst").distinct()
     known = materialize(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct())
-    front, parts = known, [known]
-    for hop in range(1, max_rounds + 1):
+    front = known
+    for hop in count(1):
         step = front.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         front = materialize(step.join(known.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             return known
-        parts.append(front)
         known = known.unionByName(front)
         if hop % 10 == 0:
             known = materialize(known)
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+    raise AssertionError
 
 
 def must_pass(edges: DataFrame, entry, exit_) -> DataFrame:
@@ -117,7 +115,7 @@ def must_pass(edges: DataFrame, entry, exit_) -> DataFrame:
     return found.where(F.lit(not hit))
 
 
-def dominators(edges: DataFrame, entry, max_rounds: int = 100) -> DataFrame:
+def dominators(edges: DataFrame, entry) -> DataFrame:
     """(node, dominator): strict dominators of every node that the entry reaches.
 
     A node's dominators are itself and what all its predecessors share; sets only shrink, so rounds end. One row a node.
@@ -127,7 +125,7 @@ def dominators(edges: DataFrame, entry, max_rounds: int = 100) -> DataFrame:
     e = materialize(edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").where((F.col("src") != F.col("dst")) & (F.col("dst") != F.lit(entry))).select("src", "dst").distinct())
     root = inside.where(F.col("node") == F.lit(entry)).select("node", F.array("node").alias("doms"))
     states = materialize(root)
-    for _ in range(max_rounds):
+    while True:
         sent = e.join(states, F.col("src") == F.col("node")).groupBy("dst").agg(F.collect_list("doms").alias("sets"))
         shared = F.aggregate(F.slice("sets", 2, F.size("sets")), F.element_at("sets", 1), lambda a, b: F.array_intersect(a, b))
         new = materialize(root.unionByName(sent.select(F.col("dst").alias("node"), F.array_sort(F.array_union(shared, F.array("dst"))).alias("doms"))))
@@ -135,7 +133,6 @@ def dominators(edges: DataFrame, entry, max_rounds: int = 100) -> DataFrame:
         states = new
         if same:
             return states.select("node", F.explode("doms").alias("dominator")).where("node <> dominator")
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
 def spread(edges: DataFrame, seeds: DataFrame, max_rounds: int = 20) -> DataFrame:
@@ -151,7 +148,7 @@ def spread(edges: DataFrame, seeds: DataFrame, max_rounds: int = 20) -> DataFram
     return known
 
 
-def lattice_states(edges: DataFrame, effects: DataFrame, entry, join: str = "may", max_rounds: int = 100) -> DataFrame:
+def lattice_states(edges: DataFrame, effects: DataFrame, entry, join: str = "may") -> DataFrame:
     """(block, name, state): forward data-flow to a fixed point. effects (block, name, sets): 1 sets the fact, 0 clears it.
 
     `may` joins by maximum (any path), `must` by minimum over the predecessors reached (all paths). States are those
@@ -162,7 +159,7 @@ def lattice_states(edges: DataFrame, effects: DataFrame, entry, join: str = "may
     start = materialize(names.select(F.lit(entry).alias("block"), "name", F.lit(0).alias("state")))
     states = start
     pick = F.max if join == "may" else F.min
-    for _ in range(max_rounds):
+    while True:
         out = states.join(effects, ["block", "name"], "left").select("block", "name", F.coalesce("sets", "state").alias("state"))
         sent = out.join(e, F.col("block") == F.col("src")).select(F.col("dst").alias("block"), "name", "state")
         new = materialize(sent.unionByName(start).groupBy("block", "name").agg(pick("state").alias("state")))
@@ -170,4 +167,128 @@ def lattice_states(edges: DataFrame, effects: DataFrame, entry, join: str = "may
         states = new
         if same:
             return states
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+
+
+def path_avoiding(edges: DataFrame, from_, to, avoid: DataFrame | None = None, not_leaving: tuple[str, ...] = ()) -> DataFrame:
+    """(step, node): a shortest path from `from_` to `to` round the nodes of avoid (node); no rows if there is none. Equal ends ask
+    for a cycle. Edges of the kinds not_leaving (edges have `kind`) aren't taken from the first node.
+
+    Breadth first, level by level: each node found keeps the smallest node it was found from, and the path is read back along
+    these, one look-up a step. Ends in avoid don't count as avoided.
+    """
+    spark = edges.sparkSession
+    kind = edges.schema["src"].dataType.simpleString()
+    first = edges.where(F.col("src") == F.lit(from_))
+    if not_leaving:
+        first = first.where(~F.col("kind").isin(*not_leaving))
+    e = edges.select("src", "dst").distinct()
+    if avoid is not None:
+        keep = avoid.where((F.col("node") != F.lit(from_)) & (F.col("node") != F.lit(to))).select("node").distinct()
+        e = e.join(keep.select(F.col("node").alias("dst")), "dst", "left_anti")
+        first = first.join(keep.select(F.col("node").alias("dst")), "dst", "left_anti")
+    e = materialize(e)
+    found = materialize(first.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("back"), F.lit(1).alias("hop")))
+    front = found
+    for hop in count(2):
+        if front.isEmpty() or not found.where(F.col("node") == F.lit(to)).isEmpty():
+            break
+        step = front.join(e, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("src").alias("back"))
+        front = materialize(step.select(F.col("dst").alias("node"), "back", F.lit(hop).alias("hop")).join(found, "node", "left_anti"))
+        found = materialize(found.unionByName(front))
+    path, at = [], found.where(F.col("node") == F.lit(to)).select("back", "hop").first()
+    if at is not None:
+        path = [(at["hop"], to)]
+        while at["hop"] > 1:
+            path.append((at["hop"] - 1, at["back"]))
+            at = found.where((F.col("node") == F.lit(at["back"])) & (F.col("hop") == at["hop"] - 1)).select("back", "hop").first()
+        path.append((0, from_))
+    return spark.createDataFrame(sorted(path), f"step int, node {kind}")
+
+
+def must_pass_any(edges: DataFrame, entry, exit_, nodes: DataFrame) -> bool:
+    """Whether every path from the entry to the exit meets one of nodes (node). Without any path, or with an end in nodes, it does."""
+    hit = nodes.where((F.col("node") == F.lit(entry)) | (F.col("node") == F.lit(exit_)))
+    if not hit.isEmpty():
+        return True
+    free = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_anti").join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti")
+    start = edges.sparkSession.createDataFrame([(entry,)], edges.select(F.col("src").alias("start")).schema)
+    return reachable(free.select("src", "dst"), start).where(F.col("node") == F.lit(exit_)).isEmpty()
+
+
+def blocks_between(edges: DataFrame, from_, to) -> DataFrame:
+    """(node): what lies on some path: reached from `from_`, and reaching `to`."""
+    one = lambda x: edges.sparkSession.createDataFrame([(x,)], edges.select(F.col("src").alias("start")).schema)
+    ahead = reachable(edges, one(from_)).select("node")
+    back = reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), one(to)).select("node")
+    return ahead.join(back, "node", "left_semi")
+
+
+def uses_closure(imports: DataFrame, units: DataFrame) -> DataFrame:
+    """(unit, uses, known): all units that a unit reaches over imports (unit, uses), itself left out, and whether the closure is known:
+    it isn't if any member has no source in units (unit)."""
+    e = imports.select(F.col("unit").alias("src"), F.col("uses").alias("dst"))
+    reach = reachable(e, units.select(F.col("unit").alias("start"))).where("hops > 0 AND node <> start")
+    there = units.select(F.col("unit").alias("node"), F.lit(True).alias("there"))
+    told = reach.join(there, "node", "left").groupBy("start").agg(F.array_sort(F.collect_list("node")).alias("uses"), F.bool_and(F.coalesce("there", F.lit(False))).alias("known"))
+    return units.join(told, units["unit"] == told["start"], "left").select("unit", F.when(F.coalesce("known", F.lit(True)), F.coalesce("uses", F.array().cast("array<string>"))).alias("uses"), F.coalesce("known", F.lit(True)).alias("known"))
+
+
+def bottom_up(calls: DataFrame, own: DataFrame, max_rounds: int = 20) -> DataFrame:
+    """(proc, can): a fact that a routine has itself (own) or by calling one that has it. calls (caller, callee), own (proc, can).
+
+    Callers take over their callees' facts round by round: without cycles, after as many rounds as calls are deep; with them,
+    at most max_rounds.
+    """
+    e = calls.select("caller", "callee").distinct()
+    facts = materialize(own.select("proc", F.col("can").cast("boolean").alias("can")))
+    for _ in range(max_rounds):
+        taken = e.join(facts.where("can"), F.col("callee") == F.col("proc"), "left_semi").select(F.col("caller").alias("proc")).distinct().withColumn("__by", F.lit(True))
+        new = materialize(facts.join(taken, "proc", "left").select("proc", (F.col("can") | F.coalesce("__by", F.lit(False))).alias("can")))
+        if new.exceptAll(facts).isEmpty():
+            break
+        facts = new
+    return facts
+
+
+def definite_assignment(blocks: DataFrame, edges: DataFrame, entry) -> DataFrame:
+    """(block, assigned): whether a variable is assigned on every way to a block's start. blocks (block, assigns), edges (src, dst, kind).
+
+    All blocks but the entry begin as assigned, and states only fall. An exceptional edge carries what held at the start of its
+    block, any other what holds at its end.
+    """
+    e = materialize(edges.select("src", "dst", (F.col("kind") == "exception").alias("__thrown")).distinct())
+    b = blocks.select("block", F.col("assigns").cast("boolean").alias("assigns"))
+    states = materialize(b.select("block", "assigns", (F.col("block") != F.lit(entry)).alias("state")))
+    while True:
+        sent = e.join(states, F.col("src") == F.col("block")).select(F.col("dst").alias("block"), F.when(F.col("__thrown"), F.col("state")).otherwise(F.col("state") | F.col("assigns")).alias("__in"))
+        met = sent.groupBy("block").agg(F.bool_and("__in").alias("__in"))
+        new = materialize(states.join(met, "block", "left").select("block", "assigns", F.when(F.col("block") == F.lit(entry), F.lit(False)).otherwise(F.coalesce("__in", F.lit(True))).alias("state")))
+        if new.exceptAll(states).isEmpty():
+            return new.select("block", F.col("state").alias("assigned"))
+        states = new
+
+
+def ancestry(types: DataFrame, max_levels: int = 20) -> DataFrame:
+    """(name, ancestor, level): all ancestors of each type (name, parent), in lower case, up to max_levels; a cycle ends where it closes."""
+    t = types.select(F.lower("name").alias("name"), F.lower("parent").alias("parent")).distinct()
+    up = materialize(t.where("parent IS NOT NULL").select("name", F.col("parent").alias("ancestor"), F.lit(1).alias("level")))
+    all_, front = up, up
+    for level in range(2, max_levels + 1):
+        step = front.join(t.select(F.col("name").alias("ancestor"), F.col("parent").alias("__up")), "ancestor").where("__up IS NOT NULL AND __up <> name")
+        front = materialize(step.select("name", F.col("__up").alias("ancestor"), F.lit(level).alias("level")).join(all_, ["name", "ancestor"], "left_anti"))
+        if front.isEmpty():
+            break
+        all_ = all_.unionByName(front)
+    return all_
+
+
+def descends(pairs: DataFrame, types: DataFrame, max_levels: int = 20) -> DataFrame:
+    """pairs (name, base) with `descends`: true if base is the type or an ancestor; null if a chain leaves the known types; else false."""
+    up = ancestry(types, max_levels)
+    known = types.select(F.lower("name").alias("name")).distinct()
+    open_ = up.join(known.select(F.col("name").alias("ancestor")), "ancestor", "left_anti").select("name").distinct().withColumn("__open", F.lit(True))
+    hit = up.select(F.col("name").alias("__n"), F.col("ancestor").alias("__b")).distinct().withColumn("__hit", F.lit(True))
+    p = pairs.withColumns({"__n": F.lower("name"), "__b": F.lower("base")})
+    p = p.join(hit, ["__n", "__b"], "left").join(open_.withColumnRenamed("name", "__n"), "__n", "left").join(known.select(F.col("name").alias("__n"), F.lit(True).alias("__known")), "__n", "left")
+    told = F.when((F.col("__n") == F.col("__b")) | F.col("__hit"), F.lit(True)).when(F.col("__known").isNull() | F.col("__open"), F.lit(None).cast("boolean")).otherwise(F.lit(False))
+    return p.select(*pairs.columns, told.alias("descends"))

@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def innermost(points: DataFrame, ranges: DataFrame, key: str, at: str, identity: list[str], start: str = "start", end: str = "end", name: str = "name", bucket: int | None = None) -> DataFrame:
-    """points with the name of the range start <= at <= end that starts last (then: the smaller name); null if none.
+def innermost(points: DataFrame, ranges: DataFrame, key: str, at: str, identity: list[str], start: str = "start", end: str = "end", name: str = "name", bucket: int | None = None, ordinal: str | None = None) -> DataFrame:
+    """points with the name of the range start <= at <= end that starts last; null if none. Of equal starts the first range in
+    order of `ordinal` counts, or the smallest name without one.
 
     With bucket, ranges are also dealt to the buckets of that many units which they touch, so that the join has a second
     equality key and a file with very many ranges doesn't meet all its points.
     """
-    r = ranges.select(F.col(key), F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(name).alias("__name"))
+    r = ranges.select(F.col(key), F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(name).alias("__name"), F.col(ordinal or name).alias("__o"))
     p, on = points, [key]
     if bucket:
         slot = lambda c: F.floor(c / bucket)
         r = r.withColumn("__slot", F.explode(F.sequence(slot(F.col("__s")), slot(F.col("__e")))))
         p, on = points.withColumn("__slot", slot(F.col(at))), [key, "__slot"]
     hit = p.join(r, on).where(F.col(at).between(F.col("__s"), F.col("__e")))
-    best = hit.groupBy(*identity).agg(F.max_by("__name", F.struct(F.col("__s"), F.expr("-ascii(__name)"))).alias(f"in_{name}"))
+    best = hit.groupBy(*identity).agg(F.min_by("__name", F.struct(-F.col("__s"), F.col("__o"))).alias(f"in_{name}"))
     return points.join(best, identity, "left")
 
 
@@ -44,9 +45,22 @@ def changes_only(rows: DataFrame, key: str, order: list[str], state: str) -> Dat
     return rows.withColumn("__before", before).where(~F.col(state).eqNullSafe(F.col("__before"))).drop("__before")
 
 
-def line_of(offsets: Column, text: Column) -> Column:
-    """The 1-based line of a 0-based character offset: line breaks before it, plus one."""
-    return F.regexp_count(F.substring(text, F.lit(1), offsets), F.lit("\n")) + 1
+def line_starts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, line, start): the character offset at which each line begins, from one pass over the text."""
+    lengths = F.transform(F.split(text, "\n"), lambda x: F.char_length(x) + 1)
+    lines = docs.select(key, F.posexplode(lengths).alias("line", "__n"))
+    before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.select(key, (F.col("line") + 1).cast("long").alias("line"), F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long").alias("start"))
+
+
+def positions(offsets: DataFrame, docs: DataFrame, key: str, at: str, text: str = "text") -> DataFrame:
+    """offsets (key, at) with their 1-based line and column: an as-of join with the starts of lines."""
+    starts = line_starts(docs, key, text).withColumn("__start", F.col("start"))
+    both = offsets.select(key, F.col(at).cast("long").alias(at), F.lit(1).alias("__probe"), F.lit(None).cast("long").alias("line"), F.lit(None).cast("long").alias("__start"))
+    both = both.unionByName(starts.select(key, F.col("start").alias(at), F.lit(0).alias("__probe"), "line", "__start"))
+    w = Window.partitionBy(key).orderBy(at, "__probe").rowsBetween(Window.unboundedPreceding, 0)
+    told = both.withColumns({"line": F.last("line", ignorenulls=True).over(w), "__start": F.last("__start", ignorenulls=True).over(w)}).where("__probe = 1")
+    return told.select(key, at, "line", (F.col(at) - F.col("__start") + 1).alias("column"))
 
 
 def paired_regions(marks: DataFrame, key: str, at: str, off: Column, last: str) -> DataFrame:

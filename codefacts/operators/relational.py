@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 def without_suppressed(findings: DataFrame, suppressions: DataFrame, on: str, rule: str = "rule") -> DataFrame:
     """Findings no suppression covers. A suppression with a null rule covers every rule at its place.
 
-    Two anti joins on equal keys, one for the wildcard and one for named rules, so neither becomes a nested loop.
+    One row a place holds its rules (as many as there are rules at most), so one join on an equal key does.
     """
-    wild = suppressions.where(F.col(rule).isNull()).select(on).distinct()
-    named = suppressions.where(F.col(rule).isNotNull()).select(on, rule).distinct()
-    return findings.join(wild, on, "left_anti").join(named, [on, rule], "left_anti")
+    by_place = suppressions.groupBy(on).agg(F.bool_or(F.col(rule).isNull()).alias("__all"), F.collect_set(rule).alias("__rules"))
+    told = findings.join(by_place, on, "left")
+    hushed = F.coalesce(F.col("__all"), F.lit(False)) | F.coalesce(F.array_contains("__rules", F.col(rule)), F.lit(False))
+    return told.where(~hushed).select(*findings.columns)
 
 
 def without_baseline(findings: DataFrame, baseline: DataFrame, key: Column) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
+IDENTIFIER = "[A-Za-z0-9_]+"
 
 
 def tokens(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, pos, token): runs of identifier characters."""
-    return docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(IDENTIFIER), F.lit(0))).alias("pos", "token"))
+    """(key, pos, token): maximal runs of identifier characters, without those that a digit leads."""
+    runs = F.filter(F.regexp_extract_all(F.col(text), F.lit(IDENTIFIER), F.lit(0)), lambda t: ~t.rlike("^[0-9]"))
+    return docs.select(key, F.posexplode(runs).alias("pos", "token"))
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -25,9 +26,9 @@ def candidates(index: DataFrame, names: list[str], key: str) -> DataFrame:
 
 
 def suggestions(names: DataFrame, name: str, asked: str, tie: str, n: int = 10) -> DataFrame:
-    """The n names nearest to `asked` by edit distance, of the whole name or of its last dotted part."""
-    low = F.lower(F.col(name))
-    distance = F.least(F.levenshtein(low, F.lit(asked.lower())), F.levenshtein(F.substring_index(low, ".", -1), F.lit(asked.lower())))
+    """The n names nearest to `asked` by edit distance, of the whole names or of the last dotted parts of both."""
+    low, want = F.lower(F.col(name)), asked.lower()
+    distance = F.least(F.levenshtein(low, F.lit(want)), F.levenshtein(F.substring_index(low, ".", -1), F.lit(want.rpartition(".")[2])))
     return names.withColumn("distance", distance).orderBy("distance", tie).limit(n)
 
 
