@@ -21,6 +21,8 @@ def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from tools.compare import TABLES, rows
 
+    if name.startswith("g"):
+        pytest.importorskip("codefacts.plans.golden")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
@@ -29,7 +31,7 @@ def test_query_equals_sql(spark, name):
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no tables here")
 def test_whole_graph(spark):
-    """The q..._whole_ queries read every row of lineitem with its own part and supplier numbers; brute force on the smallest scale."""
+    """The graph queries read every row of lineitem with its own part and supplier numbers; brute force on the smallest scale."""
     e = {(r[0], r[1]) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
     assert {tuple(r) for r in catalogue.whole_edges(spark, SF).collect()} == e
     nodes = {x for pair in e for x in pair}
@@ -44,8 +46,8 @@ def test_whole_graph(spark):
 
     got = lambda name: {tuple(r) for r in catalogue.QUERIES[name](spark, SF).collect()}
     starts = {a for a, _ in e if a < 5}
-    assert got("q55_whole_reachability") == {(s, n) for s in starts for n in reach(s, e)}
+    assert got("q42_reachability") == {(s, n) for s in starts for n in reach(s, e)}
     inside = reach(1, e)
-    assert got("q57_whole_dominators") == {(n, d) for d in inside for n in inside - {d} if d == 1 or n not in reach(1, e, d)}
+    assert got("q44_dominators") == {(n, d) for d in inside for n in inside - {d} if d == 1 or n not in reach(1, e, d)}
     both = e | {(b, a) for a, b in e}
-    assert got("q60_whole_components") == {(n, min(reach(n, both))) for n in nodes if any(n in p and p[0] != p[1] for p in e)}
+    assert got("q47_components") == {(n, min(reach(n, both))) for n in nodes if any(n in p and p[0] != p[1] for p in e)}
