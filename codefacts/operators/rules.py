@@ -127,3 +127,31 @@ def suppressions(tokens: DataFrame, marker: str) -> DataFrame:
     c = tokens.where("kind = 'comment'")
     get = lambda k: F.regexp_extract("text", rf"^//\s*{marker}:(ignore-next-line|ignore)\b(.*)$", k)
     return c.where(get(1) != "").select("path", (F.col("line") + F.when(get(1) == "ignore", 0).otherwise(1)).alias("line"), naming.rule_of_comment(get(2)).alias("rule"))
+
+
+#: Rules on names, which program and package files are spared.
+NAMING_RULES = ("type-prefix", "interface-prefix", "constant-naming", "local-variable-naming")
+
+
+def lint(files: DataFrame, marker: str, overrides: DataFrame | None = None, baseline: DataFrame | None = None) -> DataFrame:
+    """Findings of files (path, text) in the order of their places: (path, rule, severity, line, column, message, scope).
+
+    One plan: nodes and tokens of each file, all rules, severities after overrides (rule, override; `off` drops), the routine around
+    each finding, suppressions by comments, a baseline of digests (key). Nodes are written once, as every rule reads them.
+    """
+    from codefacts.operators.graph import materialize
+    from codefacts.operators.intervals import innermost
+    from codefacts.operators.relational import without_baseline
+    from codefacts.sources import pascal
+
+    n = materialize(pascal.nodes(files))
+    found = check(n).where(~(F.col("path").rlike("(?i)\\.(dpr|dpk)$") & F.col("rule").isin(*NAMING_RULES)))
+    if overrides is not None:
+        found = found.join(F.broadcast(overrides.select("rule", "override")), "rule", "left").where(F.coalesce("override", F.lit("")) != "off").withColumn("severity", F.coalesce("override", "severity")).drop("override")
+    scopes = n.where("kind = 'routine'").select("path", F.col("line").alias("start"), F.col("end_line").alias("end"), "name", "node_id")
+    found = innermost(found, scopes, "path", "line", ["path", "rule", "line", "column", "message"], ordinal="node_id").withColumnRenamed("in_name", "scope")
+    hush = suppressions(pascal.tokens(files), marker).groupBy("path", "line").agg(F.bool_or(F.col("rule").isNull()).alias("__all"), F.collect_set("rule").alias("__rules"))
+    found = found.join(hush, ["path", "line"], "left").where(~(F.coalesce("__all", F.lit(False)) | F.coalesce(F.array_contains("__rules", F.col("rule")), F.lit(False))))
+    if baseline is not None:
+        found = without_baseline(found, baseline, F.sha2(F.concat_ws(":", "path", "rule", "message"), 256))
+    return found.select("path", "rule", "severity", "line", "column", "message", "scope").orderBy("path", "line", "column", "rule")
