@@ -7,7 +7,8 @@ only if it beats the worst of the list it is for. Rounds end when few lists chan
 into meetings by a hash that changes each round, so a hub costs rows in proportion to its degree. For largest inner
 products the vectors get one more component that makes their lengths equal (a no-op for unit vectors); the search itself
 scores the original vectors in double precision. A query's beam starts from its own node's list; each step scores all
-neighbours, in both directions, of the best nodes of the beam that weren't expanded, until its k nearest no longer change.
+neighbours, in both directions, of the best nodes of the beam that weren't expanded. A query ends when its SETTLED best nodes
+(its k, if more) are all expanded, however many steps that takes: no node left to expand stands among its nearest then.
 
 The index holds every vector; recall against brute force is measured in the tests and the README. Memory is bounded by one
 leaf, meeting or block. Cases: vectors that are null, zero or hold null or non-finite components take no part; shorter
@@ -16,6 +17,7 @@ vectors count as ending in zeros; equal scores go by vec_id; an empty table give
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, release
 
-LIST, LEAF, TREES, ROUNDS, MEETING, BEAM, EXPAND, STEPS, BLOCK = 40, 512, 8, 6, 160, 64, 8, 12, 4096
+LIST, LEAF, TREES, MEETING, BEAM, EXPAND, SETTLED, BLOCK = 64, 512, 8, 160, 64, 16, 32, 4096
 SEED = 20240229
 LISTS = "id long, nbrs binary, scores binary, fresh binary"
 LISTS_ARROW = pa.schema([("id", pa.int64()), ("nbrs", pa.binary()), ("scores", pa.binary()), ("fresh", pa.binary())])
@@ -211,7 +213,7 @@ def build(nodes: DataFrame, k: int = LIST) -> tuple[DataFrame, int]:
     halves = cut(prepare(nodes, width, longest or 1.0), "nn-halves")
     lists = cut(first_lists(halves, n, width + 1, k), "nn-lists")
     spark = nodes.sparkSession
-    for turn in range(ROUNDS):
+    for turn in itertools.count():  # scores only rise, so the changes run out
         old, lists = lists, cut(join_round(halves, lists, width + 1, k, turn), "nn-lists")
         drop_cut(old)
         release(spark)
@@ -226,9 +228,11 @@ def _norms(batches):
         yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int64()), pa.array([float(np.linalg.norm(np.frombuffer(v))) for v in b.column(0).to_pylist()], pa.float64())], names=["w", "norm"])
 
 
-def walk(nodes: DataFrame, lists: DataFrame, queries: DataFrame, n: int, k: int, beam: int = BEAM) -> DataFrame:
+def walk(nodes: DataFrame, lists: DataFrame, queries: DataFrame, n: int, k: int, beam: int = BEAM, settled: int = SETTLED) -> DataFrame:
     """(q, id, score) for queries (q, own node): the beam's nodes, scored exactly, after greedy steps on the graph."""
     spark = nodes.sparkSession
+    settled = max(k, settled)
+    beam = max(beam, settled)
     blocks = max(12, -(-n // BLOCK))
     held = cut(nodes.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "vec"), "nn-blocks")
     graph = cut(edges(lists).select(F.col("centre").alias("id"), F.col("member").alias("nbr")), "nn-graph")
@@ -263,22 +267,20 @@ def walk(nodes: DataFrame, lists: DataFrame, queries: DataFrame, n: int, k: int,
 
     seen = cut(asked.select("q", F.col("own").alias("id")), "nn-seen")
     front, beams = seen, None
-    for _ in range(STEPS):
+    while True:  # each step expands a node that a query hasn't yet, so it ends
         next_ = front.join(graph, "id").select("q", F.col("nbr").alias("id")).distinct().join(seen, ["q", "id"], "left_anti")
         new = cut(scored(next_.unionByName(front) if beams is None else next_), "nn-scored")
-        all_ = new.select("q", "id", "score", F.lit(True).alias("is_new"), F.lit(False).alias("expanded"))
+        all_ = new.select("q", "id", "score", F.lit(False).alias("expanded"))
         if beams is None:
             all_ = all_.join(front.withColumn("own", F.lit(True)), ["q", "id"], "left").withColumn("expanded", F.coalesce("own", F.lit(False))).drop("own")
         else:
             all_ = all_.unionByName(beams)
-        best = all_.select("q", F.struct((-F.col("score")).alias("s"), "id", "is_new", "expanded").alias("x")).groupBy("q").agg(F.slice(F.array_sort(F.collect_list("x")), 1, beam).alias("x"))
-        # A query goes on while its last step changed its k nearest; it then expands the best nodes it hasn't yet.
-        moved = F.exists(F.slice("x", 1, k), lambda e: e["is_new"])
-        go = F.transform(F.slice(F.filter("x", lambda e: ~e["expanded"]), 1, EXPAND), lambda e: e["id"])
-        best = cut(best.select("q", "x", F.when(moved, go).otherwise(F.array().cast("array<long>")).alias("go")), "nn-beam")
+        best = all_.select("q", F.struct((-F.col("score")).alias("s"), "id", "expanded").alias("x")).groupBy("q").agg(F.slice(F.array_sort(F.collect_list("x")), 1, beam).alias("x"))
+        go = F.transform(F.slice(F.filter(F.slice("x", 1, settled), lambda e: ~e["expanded"]), 1, EXPAND), lambda e: e["id"])
+        best = cut(best.select("q", "x", go.alias("go")), "nn-beam")
         front = best.select("q", F.explode("go").alias("id"))
         told = best.select("q", "go", F.explode("x").alias("x"))
-        beams = told.select("q", F.col("x.id").alias("id"), (-F.col("x.s")).alias("score"), F.lit(False).alias("is_new"), (F.col("x.expanded") | F.array_contains("go", F.col("x.id"))).alias("expanded"))
+        beams = told.select("q", F.col("x.id").alias("id"), (-F.col("x.s")).alias("score"), (F.col("x.expanded") | F.array_contains("go", F.col("x.id"))).alias("expanded"))
         release(spark)
         if front.isEmpty():
             break
