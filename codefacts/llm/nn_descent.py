@@ -218,7 +218,7 @@ def build(nodes: DataFrame, k: int = LIST) -> tuple[DataFrame, int]:
         drop_cut(old)
         release(spark)
         changed = lists.select(F.expr("octet_length(replace(hex(fresh), '00', '')) / 2").alias("c")).agg(F.sum("c")).first()[0] or 0
-        if changed < 0.005 * n * k:
+        if changed <= 0.005 * n * k:
             break
     return lists, n
 
