@@ -162,24 +162,3 @@ def test_nearest(spark):
     assert hit / 300 >= 0.9
     assert {r["query_id"] for r in got} == set(range(0, 300, 20))
     assert nn_descent.nearest(table.limit(0)).count() == 0
-
-
-def test_nearest_over_many_leaves(spark):
-    """More vectors than a leaf holds, some repeated: rounds and walk are what finds the neighbours."""
-    rng = np.random.default_rng(11)
-    x = rng.standard_normal((2400, 24)).astype(np.float32)
-    x[2000:2300] = x[100]
-    x[2300:] = x[200:300]
-    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
-    table = spark.createDataFrame([*rows, *rows[:50]], "vec_id long, embedding array<float>").repartition(4)
-    got = nn_descent.nearest(table, every=60).collect()
-    s = x.astype(float) @ x.astype(float).T
-    np.fill_diagonal(s, -np.inf)
-    hit = 0
-    for q in range(0, 2400, 60):
-        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
-        assert [r[0] for r in own] == list(range(1, 21))
-        assert len({r[1] for r in own} | {q}) == 21
-        assert all(abs(score - s[q, v]) < 1e-9 for _, v, score in own)
-        hit += len({r[1] for r in own} & set(np.lexsort((np.arange(2400), -s[q]))[:20].tolist()))
-    assert hit / (20 * 40) >= 0.95
