@@ -70,7 +70,8 @@ def paired_regions(marks: DataFrame, key: str, at: str, off: Column, last: str)
     return m.withColumn("end_line", F.coalesce(F.lead(at).over(w), F.col(last))).where("__off").select(key, F.col(at).alias("start_line"), "end_line")
 
 
-def overlapping_edits(edits: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Edits that begin before an earlier one of the file has ended."""
-    w = Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+def overlapping_edits(edits: DataFrame, key: str, start: str = "start", end: str = "end", *ties: str) -> DataFrame:
+    """Edits that begin before an earlier one of the file has ended. Edits of one start and end count in the order of `ties`."""
+    order = [F.asc_nulls_last(c) for c in (start, end, *ties)]
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return edits.withColumn("__far", F.max(end).over(w)).where(F.col(start) < F.col("__far")).drop("__far")

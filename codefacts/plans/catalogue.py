@@ -222,7 +222,7 @@ def q20_format_regions(spark, sf):
 QUALIFY s < max(e) OVER (PARTITION BY o_custkey ORDER BY s, e, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def q21_overlapping_edits(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", micros("o_orderdate").alias("start")).withColumn("end", F.col("start") + 86400000000 * (10 + F.col("o_orderkey") % 40))
-    return intervals.overlapping_edits(o, "o_custkey").select("o_custkey", "o_orderkey")
+    return intervals.overlapping_edits(o, "o_custkey", "start", "end", "o_orderkey").select("o_custkey", "o_orderkey")
 
 
 # ---- aggregation

@@ -143,3 +143,9 @@ def test_stream_coalescer(spark, tmp_path):
     over = []
     coalesce.run_coalescer(stream, str(tmp_path / "c2"), lambda df, n: over.extend(r["kind"] for r in df.collect()), limit=1).awaitTermination(60)
     assert over == ["overflow"]
+
+
+def test_overlapping_edits_of_one_start_and_end(spark):
+    o = spark.createDataFrame([(1, n, 100, 200) for n in (9, 2, 7, 5)] + [(2, 4, 0, 50), (2, 3, 60, 90)], "k long, n long, start long, end long")
+    for order in ("n", F.desc("n")):  # the order of the rows must not decide
+        assert rows(intervals.overlapping_edits(o.orderBy(order), "k", "start", "end", "n").select("k", "n")) == [(1, 5), (1, 7), (1, 9)]
