@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -78,7 +78,7 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
     Semi-naive: a round joins only the pairs found in the one before, and pairs already known are dropped by an anti join.
     """
-    e = edges.select("src", "dst").distinct()
+    e = edges.select("src", "dst")  # a round drops what repeats; a distinct here would shuffle all edges each round
     known = materialize(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct())
     front = known
     for hop in count(1):
@@ -95,24 +95,31 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def must_pass(edges: DataFrame, entry, exit_) -> DataFrame:
     """(node): nodes other than the entry without which the exit can't be reached from the entry.
 
-    Entry-to-exit paths live between forward and backward reach. A node is on all of them when no path goes round it: one
-    run over (avoided, node) pairs tests all nodes at once.
+    All of them lie on any one path, so a shortest one is taken. A node of it can be gone round when some way off the path
+    leaves before it and comes back after it; every node off the path keeps only the first step it can be reached from, so
+    the rows grow with the nodes and edges that the entry reaches, not with pairs of nodes.
     """
-    start = edges.sparkSession.createDataFrame([(entry,)], edges.select(F.col("src").alias("start")).schema)
-    inside = reachable(edges, start).select("node")
-    e = edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst").distinct()
-    e = materialize(e)
-    avoided = inside.where(F.col("node") != F.lit(entry)).select(F.col("node").alias("avoid"))
-    known = materialize(avoided.select("avoid", F.lit(entry).alias("node")))
-    front = known
+    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
+    kind = edges.schema["src"].dataType.simpleString()
+    if entry == exit_:
+        return edges.sparkSession.createDataFrame([], f"node {kind}")
+    start = edges.sparkSession.createDataFrame([(entry,)], f"start {kind}")
+    inside = reachable(edges, start).select(F.col("node").alias("src"))
+    e = materialize(edges.join(inside, "src", "left_semi").where("src <> dst").distinct())
+    path = path_avoiding(e, entry, exit_)
+    off = materialize(e.join(path.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    known = front = materialize(path.select("node", F.col("step").alias("first")))
     while not front.isEmpty():
-        step = front.join(e, F.col("node") == F.col("src")).where("dst <> avoid").select("avoid", F.col("dst").alias("node")).distinct()
-        front = materialize(step.join(known, ["avoid", "node"], "left_anti"))
-        known = known.unionByName(front)
-    free = known.where(F.col("node") == F.lit(exit_)).select("avoid")
-    hit = inside.where(F.col("node") == F.lit(exit_)).isEmpty()
-    found = avoided.join(free, "avoid", "left_anti").select(F.col("avoid").alias("node"))
-    return found.where(F.lit(not hit))
+        step = front.join(off, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("first").alias("first")).withColumnRenamed("dst", "node")
+        best = known.withColumnRenamed("first", "__old")
+        front = materialize(step.join(best, "node", "left").where("__old IS NULL OR first < __old").select("node", "first"))
+        old, known = known, materialize(known.unionByName(front).groupBy("node").agg(F.min("first").alias("first")))
+        forget(old)
+    # The first step from which a way off the path leads to each step; a later step reached from before a node goes round it.
+    back = known.join(e, F.col("node") == F.col("src")).select("dst", "first").join(path.withColumnRenamed("node", "dst"), "dst").groupBy("step").agg(F.min("first").alias("first"))
+    later = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    told = path.join(back, "step", "left").withColumn("__round", F.coalesce(F.min("first").over(later) < F.col("step"), F.lit(False)))
+    return told.where("step > 0 AND NOT __round").select("node")
 
 
 def dominators(edges: DataFrame, entry) -> DataFrame:

@@ -386,7 +386,8 @@ def q44_dominators(spark, sf):
 
 @query(f"WITH RECURSIVE {WHOLE_DOMS_SQL} SELECT d.node FROM r d WHERE d.node <> 1 AND EXISTS (SELECT 1 FROM r WHERE node = 9) AND NOT EXISTS (SELECT 1 FROM a WHERE a.avoid = d.node AND a.node = 9)")
 def q45_must_pass(spark, sf):
-    return graph.must_pass(whole_edges(spark, sf), 1, 9)
+    lines = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return graph.must_pass(lines, 1, 9)
 
 
 @query(f"WITH RECURSIVE {WHOLE_SQL}, k(node, hop) AS (SELECT 7::BIGINT, 0 UNION SELECT e.src, hop + 1 FROM k JOIN e ON e.dst = k.node WHERE hop < 20) SELECT DISTINCT node FROM k")

@@ -149,3 +149,41 @@ def test_overlapping_edits_of_one_start_and_end(spark):
     o = spark.createDataFrame([(1, n, 100, 200) for n in (9, 2, 7, 5)] + [(2, 4, 0, 50), (2, 3, 60, 90)], "k long, n long, start long, end long")
     for order in ("n", F.desc("n")):  # the order of the rows must not decide
         assert rows(intervals.overlapping_edits(o.orderBy(order), "k", "start", "end", "n").select("k", "n")) == [(1, 5), (1, 7), (1, 9)]
+
+
+def test_must_pass_against_brute_force(spark):
+    import random
+
+    for seed in (4,):
+        rng = random.Random(seed)
+        n = 8
+        edges = [(i, i + rng.choice([1, 1, 1, 2, 3])) for i in range(n)] + [(rng.randrange(n), rng.randrange(n)) for _ in range(seed)] + [(3, None), (4, 4)]
+
+        def reach(avoid=None, edges=edges):
+            seen, todo = {0}, [0]
+            while todo:
+                at = todo.pop()
+                new = {y for x, y in edges if x == at and y is not None and y != avoid} - seen
+                seen |= new
+                todo += new
+            return seen
+
+        e = spark.createDataFrame(edges, "src long, dst long")
+        for target in (n - 2, n):
+            want = [(d,) for d in reach() if d != 0 and target in reach() and target not in reach(d)]
+            assert rows(graph.must_pass(e, 0, target)) == sorted(want, key=str), (seed, target)
+    assert rows(graph.must_pass(e, 3, 3)) == []
+
+
+def test_must_pass_writes_rows_by_edges_not_pairs(spark, monkeypatch):
+    written, plain = [], graph.materialize
+
+    def counted(df):
+        back = plain(df)
+        written.append(back.count())
+        return back
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    wide = [(0, x) for x in range(1, 301)] + [(x, y) for x in range(1, 301) for y in (301, 1 + x % 300)] + [(301, 302)]
+    assert rows(graph.must_pass(spark.createDataFrame(wide, "src long, dst long"), 0, 302)) == [(301,), (302,)]
+    assert sum(written) < 10 * len(wide)
