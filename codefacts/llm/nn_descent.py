@@ -4,14 +4,15 @@ Equal vectors are one node. Lists start from leaves of random hyperplanes: nodes
 meet in one leaf, large leaves cut by hash. Each round joins neighbours of neighbours: every node is sent to the nodes it
 lists and to those that list it, each such centre compares what it got, pairs with a new member only, and a pair goes back
 only if it beats the worst of the list it is for. Rounds end when few lists change. A centre above MEETING members splits
-into meetings by a hash that changes each round, so a hub costs rows in proportion to its degree. For largest inner
+into meetings by a hash that changes each round, so a hub costs pairs in proportion to its degree. For largest inner
 products the vectors get one more component that makes their lengths equal (a no-op for unit vectors); the search itself
 scores the original vectors in double precision. A query's beam starts from its own node's list; each step scores all
 neighbours, in both directions, of the best nodes of the beam that weren't expanded. A query ends when its SETTLED best nodes
 (its k, if more) are all expanded, however many steps that takes: no node left to expand stands among its nearest then.
 
 The index holds every vector; recall against brute force is measured in the tests and the README. Memory is bounded by one
-leaf, meeting or block. Cases: vectors that are null, zero or hold null or non-finite components take no part; shorter
+leaf, or one block of nodes with what its centres' neighbours send it. Nodes live in blocks of about BLOCK_OF_NODES by a hash of
+their id, and blocks send each other packed messages, a row for each two blocks of a task. Cases: vectors that are null, zero or hold null or non-finite components take no part; shorter
 vectors count as ending in zeros; equal scores go by vec_id; an empty table gives no rows.
 """
 
@@ -25,12 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, release
+from .common import cut, drop_cut, release, small_batches
 
-LIST, LEAF, TREES, MEETING, BEAM, EXPAND, SETTLED, BLOCK = 64, 512, 8, 160, 64, 16, 32, 4096
+LIST, LEAF, TREES, MEETING, BEAM, EXPAND, SETTLED = 64, 512, 8, 160, 64, 16, 32
 SEED = 20240229
+BLOCK_OF_NODES = 2048
 LISTS = "id long, nbrs binary, scores binary, fresh binary"
 LISTS_ARROW = pa.schema([("id", pa.int64()), ("nbrs", pa.binary()), ("scores", pa.binary()), ("fresh", pa.binary())])
+PACKED = "block long, kind int, a binary, b binary, c binary, d binary, e binary"
+PACKED_ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcde")])
+STATE, LISTED, SENT, FOUND = range(4)
+ENTRY = np.dtype([("v", np.int64), ("s", np.float32), ("f", np.uint8)])
+LINK = np.dtype([("member", np.int64), ("centre", np.int64), ("f", np.uint8)])
+PAIR = np.dtype([("q", np.int64), ("id", np.int64)])
+SCORED = np.dtype([("q", np.int64), ("id", np.int64), ("s", np.float64), ("x", np.uint8)])
 
 
 def groups(batches, keys: int):
@@ -53,40 +62,91 @@ def matrix(column, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def top_lists(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best v of each u, once each, as packed lists; all are fresh."""
-    order = np.lexsort((v, -s, u))
-    u, v, s = u[order], v[order], s[order]
-    _, first = np.unique(np.stack([u, v]), axis=1, return_index=True) if len(u) else (None, np.array([], int))
-    first.sort()
-    u, v, s = u[first], v[first], s[first]
-    start = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.array([], int)
-    end = np.append(start[1:], len(u))
-    rows = [(int(u[a]), v[a : min(z, a + k)].tobytes(), s[a : min(z, a + k)].astype(np.float32).tobytes(), b"\1" * min(z - a, k)) for a, z in zip(start.tolist(), end.tolist(), strict=True)]
-    cols = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, LISTS_ARROW, strict=True)], schema=LISTS_ARROW)
+def best_of(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: int, fresh: np.ndarray | None = None) -> np.ndarray:
+    """Where the k best v of each u stand, once each, by u and rank; of equal entries an old one (fresh 0) stays."""
+    order = np.lexsort((v, u) if fresh is None else (fresh, v, u))
+    x, y = u[order], v[order]
+    order = order[np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))] if len(order) else order
+    order = order[np.lexsort((v[order], -s[order], u[order]))]
+    x = u[order]
+    start = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.array([], int)
+    rank = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
+    return order[rank < k]
 
 
-def merged(lists: DataFrame, k: int) -> DataFrame:
-    """One list of the k best for each node from all its lists; entries of an old list (fresh 0) stay old."""
+def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
 
-    def run(batches):
-        rows = []
+
+def row(block: int, kind: int, *parts: np.ndarray) -> pa.RecordBatch:
+    cells = [np.ascontiguousarray(x).tobytes() for x in parts] + [b""] * (5 - len(parts))
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([kind], pa.int32())] + [pa.array([c], pa.binary()) for c in cells], schema=PACKED_ARROW)
+
+
+def split(at: np.ndarray, *columns: np.ndarray):
+    """(block, columns of that block) for each block in at."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    start = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else ()
+    for x, y in zip(start, np.append(start[1:], len(at)), strict=True) if len(at) else ():
+        yield int(at[x]), [c[order[x:y]] for c in columns]
+
+
+def found_rows(u: list, v: list, s: list, k: int, blocks: int):
+    """Pairs found, as messages to the blocks of their u."""
+    u, v, s = np.concatenate(u), np.concatenate(v), np.concatenate(s).astype(np.float32)
+    best = best_of(u, v, s, k)
+    for to, cols in split(block_of(u[best], blocks), u[best], v[best], s[best]):
+        yield row(to, FOUND, *cols)
+
+
+def cells(g, kind: int, i: int, of) -> np.ndarray:
+    """Part i of all rows of a kind in a block's group, as one array."""
+    take = g.column(1).to_numpy() == kind
+    return np.frombuffer(b"".join(c for c, t in zip(g.column(2 + i).to_pylist(), take, strict=True) if t), of)
+
+
+def by_block(rows: DataFrame, run, blocks: int) -> DataFrame:
+    """Run on each block's rows. Twice as many tasks as blocks, so that few tasks get several blocks."""
+    return rows.repartition(2 * blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(run, PACKED)
+
+
+def packed(halves: DataFrame, blocks: int) -> DataFrame:
+    """One row a block: ids, half vectors, and lists (lengths, entries of (nbr, score, fresh)), which are empty yet."""
+
+    def deal(batches):
+        for b in batches:
+            ids, x = b.column(0).to_numpy(), matrix(b.column(1), np.uint8, len(b.column(1)[0].as_py())) if b.num_rows else None
+            for to, cols in split(block_of(ids, blocks), ids, x) if b.num_rows else ():
+                yield row(to, STATE, *cols)
+
+    def gather(batches):
         for g in groups(batches, 1):
-            v, s, fresh = (np.frombuffer(b"".join(g.column(i).to_pylist()), t) for i, t in ((1, np.int64), (2, np.float32), (3, np.uint8)))
-            order = np.lexsort((fresh, v))
-            v, s, fresh = v[order], s[order], fresh[order]
-            once = np.append(True, v[1:] != v[:-1])
-            v, s, fresh = v[once], s[once], fresh[once]
-            best = np.lexsort((v, -s))[:k]
-            rows.append((g.column(0)[0].as_py(), v[best].tobytes(), s[best].tobytes(), fresh[best].tobytes()))
-            if len(rows) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), LISTS_ARROW, strict=True)], schema=LISTS_ARROW)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), LISTS_ARROW, strict=True)], schema=LISTS_ARROW)
+            ids = cells(g, STATE, 0, np.int64)
+            yield row(g.column(0)[0].as_py(), STATE, ids, cells(g, STATE, 1, np.uint8), np.zeros(len(ids), np.int32))
+
+    return by_block(halves.mapInArrow(deal, PACKED), gather, blocks)
 
-    return lists.repartition("id").sortWithinPartitions("id").mapInArrow(run, LISTS)
+
+def updated(state: DataFrame, found: DataFrame, k: int, blocks: int) -> DataFrame:
+    """The blocks with one list of the k best for each node from its old list and what was found; old entries aren't fresh."""
+
+    def run(batches):
+        for g in groups(batches, 1):
+            ids, n = cells(g, STATE, 0, np.int64), cells(g, STATE, 2, np.int32)
+            old = cells(g, STATE, 3, ENTRY)
+            order = np.argsort(ids)
+            at = order[np.searchsorted(ids, cells(g, FOUND, 0, np.int64), sorter=order)]
+            u = np.concatenate([np.repeat(np.arange(len(ids)), n), at])
+            v = np.concatenate([old["v"], cells(g, FOUND, 1, np.int64)])
+            s = np.concatenate([old["s"], cells(g, FOUND, 2, np.float32)])
+            fresh = np.repeat(np.array([0, 1], np.uint8), [len(old), len(at)])
+            best = best_of(u, v, s, k, fresh)
+            new = np.empty(len(best), ENTRY)
+            new["v"], new["s"], new["f"] = v[best], s[best], fresh[best]
+            yield row(g.column(0)[0].as_py(), STATE, ids, cells(g, STATE, 1, np.uint8), np.bincount(u[best], minlength=len(ids)).astype(np.int32), new, fresh[best].sum(keepdims=True, dtype=np.int64))
+
+    return by_block(state.unionByName(found), run, blocks)
 
 
 def clean_vectors(table: DataFrame) -> DataFrame:
@@ -118,8 +178,8 @@ def prepare(nodes: DataFrame, width: int, longest: float) -> DataFrame:
     return nodes.select("id", "vec").mapInArrow(run, "id long, half binary")
 
 
-def first_lists(halves: DataFrame, n: int, width: int, k: int) -> DataFrame:
-    """Lists from the leaves of TREES trees of random hyperplanes."""
+def first_lists(halves: DataFrame, n: int, width: int, k: int, blocks: int) -> DataFrame:
+    """Pairs from the leaves of TREES trees of random hyperplanes, as messages to blocks."""
     bits = max(0, math.ceil(math.log2(max(n, 1) / LEAF)))
     planes = np.random.default_rng(SEED).standard_normal((width, TREES * bits)).astype(np.float32)
 
@@ -144,83 +204,115 @@ def first_lists(halves: DataFrame, n: int, width: int, k: int) -> DataFrame:
             u.append(np.repeat(ids, best.shape[1])), v.append(ids[best].ravel()), s.append(np.take_along_axis(score, best, 1).ravel())
             held += len(u[-1])
             if held > 400_000:
-                yield top_lists(np.concatenate(u), np.concatenate(v), np.concatenate(s), k)
+                yield from found_rows(u, v, s, k, blocks)
                 u, v, s, held = [], [], [], 0
         if u:
-            yield top_lists(np.concatenate(u), np.concatenate(v), np.concatenate(s), k)
+            yield from found_rows(u, v, s, k, blocks)
 
     dealt = halves.mapInArrow(leaves, "leaf long, id long")
     sizes = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("parts"))
     dealt = dealt.join(sizes, "leaf").join(halves, "id").select("leaf", F.pmod(F.xxhash64("id", "leaf"), F.col("parts")).alias("part"), "id", "half")
-    return merged(dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(meet, LISTS), k)
+    return dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(meet, PACKED)
 
 
-def edges(lists: DataFrame) -> DataFrame:
-    """(member, centre, fresh) in both directions, each once."""
+def join_round(state: DataFrame, width: int, k: int, turn: int, blocks: int) -> DataFrame:
+    """The next lists: neighbours of neighbours meet at their common neighbour.
 
-    def run(batches):
-        for b in batches:
-            n = [len(x) // 8 for x in b.column(1).to_pylist()]
-            u, v = np.repeat(b.column(0).to_numpy(), n), np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
-            f = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((u, v), (v, u), (f, f))], names=["member", "centre", "fresh"])
-
-    return lists.mapInArrow(run, "member long, centre long, fresh int").groupBy("member", "centre").agg(F.max("fresh").alias("fresh"))
+    Nodes live in blocks, and blocks send each other packed messages: who lists whom, then each node's vector once to each
+    block that holds a centre of it, then the pairs found, reduced to the best of each node.
+    """
 
+    def listed(batches):
+        for g in groups(batches, 1):
+            ids, old = cells(g, STATE, 0, np.int64), cells(g, STATE, 3, ENTRY)
+            links = np.empty(len(old), LINK)
+            links["member"], links["centre"], links["f"] = old["v"], np.repeat(ids, cells(g, STATE, 2, np.int32)), old["f"]
+            for to, (some,) in split(block_of(old["v"], blocks), links):
+                yield row(to, LISTED, some)
 
-def join_round(halves: DataFrame, lists: DataFrame, width: int, k: int, turn: int) -> DataFrame:
-    """The next lists: neighbours of neighbours meet at their common neighbour."""
-
-    def worst(batches):
-        for b in batches:
-            least = [np.frombuffer(x, np.float32)[-1] if len(x) >= 4 * k else -np.inf for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(least, pa.float32())], names=["id", "worst"])
+    def send(batches):
+        for g in groups(batches, 1):
+            ids, n, old, by = cells(g, STATE, 0, np.int64), cells(g, STATE, 2, np.int32), cells(g, STATE, 3, ENTRY), cells(g, LISTED, 0, LINK)
+            x = cells(g, STATE, 1, np.float16).reshape(len(ids), width)
+            last = np.cumsum(n) - 1
+            least = np.full(len(ids), -np.inf, np.float32)
+            least[n >= k] = old["s"][last[n >= k]]
+            order = np.argsort(ids)
+            # A node is a member at those it lists and at those that list it, each once, fresh if either entry is.
+            u = np.concatenate([np.repeat(np.arange(len(ids)), n), order[np.searchsorted(ids, by["member"], sorter=order)]])
+            c, f = np.concatenate([old["v"], by["centre"]]), np.concatenate([old["f"], by["f"]])
+            by_pair = np.lexsort((-f.astype(np.int8), c, u))
+            u, c, f = u[by_pair], c[by_pair], f[by_pair]
+            once = np.append(True, (u[1:] != u[:-1]) | (c[1:] != c[:-1])) if len(u) else np.array([], bool)
+            u, c, f = u[once], c[once], f[once]
+            for to, (m, centre, fresh) in split(block_of(c, blocks), u, c, f):
+                who = np.unique(m)
+                links = np.empty(len(m), LINK)
+                links["member"], links["centre"], links["f"] = ids[m], centre, fresh
+                yield row(to, SENT, ids[who], x[who], least[who], links)
 
     def meet(batches):
-        u, v, s, held = [], [], [], 0
-        for g in groups(batches, 2):
-            ids, fresh, least = (g.column(i).to_numpy() for i in (2, 3, 4))
-            if not fresh.any() or len(ids) < 2:
-                continue
-            x = matrix(g.column(5), np.float16, width).astype(np.float32)
-            score = x @ x.T
-            ok = (score > least[:, None]) & ((fresh[:, None] + fresh[None, :]) > 0)
-            np.fill_diagonal(ok, False)
-            i, j = np.nonzero(ok)
-            u.append(ids[i]), v.append(ids[j]), s.append(score[i, j])
-            held += len(i)
-            if held > 400_000:
-                yield top_lists(np.concatenate(u), np.concatenate(v), np.concatenate(s), k)
-                u, v, s, held = [], [], [], 0
-        if u:
-            yield top_lists(np.concatenate(u), np.concatenate(v), np.concatenate(s), k)
-
-    both = edges(lists)
-    # A centre is a member of its own meeting through those it lists; only its neighbours need to be sent to it.
-    degree = both.groupBy("centre").agg(F.ceil(F.count("*") / MEETING).alias("parts"))
-    sent = both.join(degree, "centre").withColumn("part", F.pmod(F.xxhash64("member", F.lit(turn)), F.col("parts")))
-    known = halves.join(lists.select("id", "scores").mapInArrow(worst, "id long, worst float"), "id", "left")
-    known = known.select(F.col("id").alias("member"), F.coalesce("worst", F.lit(float("-inf"))).cast("float").alias("worst"), "half")
-    sent = sent.join(known, "member").select("centre", "part", "member", "fresh", "worst", "half")
-    found = sent.repartition("centre", "part").sortWithinPartitions("centre", "part").mapInArrow(meet, LISTS)
-    return merged(found.unionByName(lists.withColumn("fresh", F.expr("unhex(repeat('00', octet_length(fresh)))"))), k)
+        for g in groups(batches, 1):
+            ids, order = np.unique(cells(g, SENT, 0, np.int64), return_index=True)
+            x = cells(g, SENT, 1, np.float16).reshape(-1, width)[order]
+            worst, links = cells(g, SENT, 2, np.float32)[order], cells(g, SENT, 3, LINK)
+            links = links[np.argsort(links["centre"], kind="stable")]
+            member, centre = np.searchsorted(ids, links["member"]), links["centre"]
+            start = np.flatnonzero(np.append(True, centre[1:] != centre[:-1]))
+            u, v, s, held = [], [], [], 0
+            for a, z in zip(start, np.append(start[1:], len(centre)), strict=True):
+                parts = -(-int(z - a) // MEETING)
+                part = block_of(ids[member[a:z]] + (turn + 1) * 1_000_003, parts) if parts > 1 else None
+                for p in range(parts):
+                    here, fresh = member[a:z], links["f"][a:z]
+                    if part is not None:
+                        here, fresh = here[part == p], fresh[part == p]
+                    if len(here) < 2 or not fresh.any():
+                        continue
+                    y = x[here].astype(np.float32)
+                    score = y @ y.T
+                    ok = (score > worst[here][:, None]) & ((fresh[:, None] | fresh[None, :]) > 0)
+                    np.fill_diagonal(ok, False)
+                    i, j = np.nonzero(ok)
+                    u.append(here[i]), v.append(here[j]), s.append(score[i, j])
+                    held += len(i)
+                    if held > 1_000_000:
+                        best = best_of(u := np.concatenate(u), v := np.concatenate(v), s := np.concatenate(s), k)
+                        u, v, s, held = [u[best]], [v[best]], [s[best]], len(best)
+                        if held > 500_000:
+                            yield from found_rows([ids[u[0]]], [ids[v[0]]], s, k, blocks)
+                            u, v, s, held = [], [], [], 0
+            if held:
+                yield from found_rows([ids[np.concatenate(u)]], [ids[np.concatenate(v)]], s, k, blocks)
+
+    sent = by_block(state.unionByName(state.mapInArrow(listed, PACKED)), send, blocks)
+    return updated(state, by_block(sent, meet, blocks), k, blocks)
 
 
 def build(nodes: DataFrame, k: int = LIST) -> tuple[DataFrame, int]:
     """The neighbour graph over nodes (id, vec): lists (id, nbrs, scores, fresh), and how many nodes there are."""
     n, width, longest = nodes.select("vec", F.octet_length("vec").alias("w")).mapInArrow(_norms, "w long, norm double").agg(F.count("*"), F.coalesce(F.max("w"), F.lit(0)), F.max("norm")).first()
-    width = width // 8
-    halves = cut(prepare(nodes, width, longest or 1.0), "nn-halves")
-    lists = cut(first_lists(halves, n, width + 1, k), "nn-lists")
+    width, blocks = width // 8, max(12, -(-n // BLOCK_OF_NODES))
     spark = nodes.sparkSession
-    for turn in itertools.count():  # scores only rise, so the changes run out
-        old, lists = lists, cut(join_round(halves, lists, width + 1, k, turn), "nn-lists")
-        drop_cut(old)
-        release(spark)
-        changed = lists.select(F.expr("octet_length(replace(hex(fresh), '00', '')) / 2").alias("c")).agg(F.sum("c")).first()[0] or 0
-        if changed <= 0.005 * n * k:
-            break
-    return lists, n
+    halves = cut(prepare(nodes, width, longest or 1.0), "nn-halves")
+    pairs = cut(first_lists(halves, n, width + 1, k, blocks), "nn-pairs")
+
+    def plain(batches):
+        for g in groups(batches, 1):
+            ids, old, end = cells(g, STATE, 0, np.int64), cells(g, STATE, 3, ENTRY), np.cumsum(cells(g, STATE, 2, np.int32))
+            rows = [(i, e["v"].tobytes(), e["s"].tobytes(), e["f"].tobytes()) for i, e in zip(ids.tolist(), np.split(old, end[:-1]), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), LISTS_ARROW, strict=True)], schema=LISTS_ARROW)
+
+    with small_batches(spark, 16):  # rows hold a block, up to a few MB
+        state = cut(updated(packed(halves, blocks), pairs, k, blocks), "nn-lists", blobs=True)
+        for turn in itertools.count():  # scores only rise, so the changes run out
+            old, state = state, cut(join_round(state, width + 1, k, turn, blocks), "nn-lists", blobs=True)
+            drop_cut(old)
+            release(spark)
+            fresh = [int.from_bytes(r["e"], "little") for r in state.select("e").collect()]  # one number a block
+            if sum(fresh) <= 0.005 * n * k:
+                break
+        return cut(state.mapInArrow(plain, LISTS), "nn-graph-lists"), n
 
 
 def _norms(batches):
@@ -228,64 +320,158 @@ def _norms(batches):
         yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int64()), pa.array([float(np.linalg.norm(np.frombuffer(v))) for v in b.column(0).to_pylist()], pa.float64())], names=["w", "norm"])
 
 
+def ranks(x: np.ndarray) -> np.ndarray:
+    """The place of each entry in its run of equal entries, from 0."""
+    start = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.array([], int)
+    return np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
+
+
+def distinct(pairs: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+    """The pairs, once each and sorted, without those seen."""
+    old = 0 if seen is None else len(seen)
+    pairs = pairs if seen is None else np.append(seen, pairs)
+    order = np.lexsort((pairs["id"], pairs["q"]))  # stable: what was seen comes first
+    x = pairs[order]
+    once = np.append(True, (x["q"][1:] != x["q"][:-1]) | (x["id"][1:] != x["id"][:-1])) if len(x) else np.array([], bool)
+    return x[once & (order >= old)]
+
+
 def walk(nodes: DataFrame, lists: DataFrame, queries: DataFrame, n: int, k: int, beam: int = BEAM, settled: int = SETTLED) -> DataFrame:
-    """(q, id, score) for queries (q, own node): the beam's nodes, scored exactly, after greedy steps on the graph."""
+    """(q, id, score) for queries (q, own node): the beam's nodes, scored exactly, after greedy steps on the graph.
+
+    Queries with one own node share a walk, which lives in the block of that node; blocks of walks and of nodes send each other
+    packed messages: nodes to expand, their neighbours, pairs to score, scores.
+    """
     spark = nodes.sparkSession
     settled = max(k, settled)
     beam = max(beam, settled)
-    blocks = max(12, -(-n // BLOCK))
-    held = cut(nodes.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "vec"), "nn-blocks")
-    graph = cut(edges(lists).select(F.col("centre").alias("id"), F.col("member").alias("nbr")), "nn-graph")
-    asked = cut(queries.join(nodes, queries["own"] == nodes["id"]).select("q", "own", F.col("vec").alias("q_vec")), "nn-queries")
-
-    def score(key, left, right):
-        """left (block, q, q_vec, ids); right (block, id, vec)."""
-        ids = right.column("id").to_numpy()
-        vecs = right.column("vec").to_pylist()
-        order = np.argsort(ids)
-        ids = ids[order]
-        width = max((len(v) // 8 for v in vecs), default=0)
-        x = np.zeros((len(ids), width))
-        for i, o in enumerate(order):
-            x[i, : len(vecs[o]) // 8] = np.frombuffer(vecs[o])
-        q, a, s = [], [], []
-        for qid, vec, some in zip(left.column("q").to_pylist(), left.column("q_vec").to_pylist(), left.column("ids").to_pylist(), strict=True):
-            at = np.searchsorted(ids, np.array(some, np.int64))
-            v = np.frombuffer(vec)
-            w = min(width, len(v))
-            got = np.einsum("ij,j->i", x[at, :w], v[:w])
-            best = np.argsort(-got, kind="stable")[:beam]
-            q.append(np.full(len(best), qid)), a.append(ids[at[best]]), s.append(got[best])
-        if not q:
-            return pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        return pa.table({"q": np.concatenate(q).astype(np.int64), "id": np.concatenate(a), "score": np.concatenate(s)})
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        ask = pairs.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block", "q").agg(F.collect_list("id").alias("ids"))
-        ask = ask.join(asked.select("q", "q_vec"), "q").select("block", "q", "q_vec", "ids")
-        return ask.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(score, "q long, id long, score double")
-
-    seen = cut(asked.select("q", F.col("own").alias("id")), "nn-seen")
-    front, beams = seen, None
-    while True:  # each step expands a node that a query hasn't yet, so it ends
-        next_ = front.join(graph, "id").select("q", F.col("nbr").alias("id")).distinct().join(seen, ["q", "id"], "left_anti")
-        new = cut(scored(next_.unionByName(front) if beams is None else next_), "nn-scored")
-        all_ = new.select("q", "id", "score", F.lit(False).alias("expanded"))
-        if beams is None:
-            all_ = all_.join(front.withColumn("own", F.lit(True)), ["q", "id"], "left").withColumn("expanded", F.coalesce("own", F.lit(False))).drop("own")
-        else:
-            all_ = all_.unionByName(beams)
-        best = all_.select("q", F.struct((-F.col("score")).alias("s"), "id", "expanded").alias("x")).groupBy("q").agg(F.slice(F.array_sort(F.collect_list("x")), 1, beam).alias("x"))
-        go = F.transform(F.slice(F.filter(F.slice("x", 1, settled), lambda e: ~e["expanded"]), 1, EXPAND), lambda e: e["id"])
-        best = cut(best.select("q", "x", go.alias("go")), "nn-beam")
-        front = best.select("q", F.explode("go").alias("id"))
-        told = best.select("q", "go", F.explode("x").alias("x"))
-        beams = told.select("q", F.col("x.id").alias("id"), (-F.col("x.s")).alias("score"), (F.col("x.expanded") | F.array_contains("go", F.col("x.id"))).alias("expanded"))
-        release(spark)
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(new.select("q", "id")).distinct()
-    return beams.select("q", "id", "score")
+    blocks = max(12, -(-n // BLOCK_OF_NODES))
+    width = (nodes.agg(F.max(F.octet_length("vec"))).first()[0] or 0) // 8
+
+    def vectors(batches):
+        for b in batches:
+            ids, x = b.column(0).to_numpy(), np.zeros((b.num_rows, width))
+            for i, v in enumerate(b.column(1).to_pylist()):
+                x[i, : len(v) // 8] = np.frombuffer(v)
+            for to, cols in split(block_of(ids, blocks), ids, x):
+                yield row(to, STATE, *cols)
+
+    def whole(batches):
+        for g in groups(batches, 1):
+            ids = cells(g, STATE, 0, np.int64)
+            order = np.argsort(ids)
+            yield row(g.column(0)[0].as_py(), STATE, ids[order], cells(g, STATE, 1, np.float64).reshape(len(ids), width)[order])
+
+    def begin(batches):
+        for g in groups(batches, 1):
+            ids = cells(g, STATE, 0, np.int64)
+            pairs = np.empty(len(ids), PAIR)
+            pairs["q"] = pairs["id"] = ids
+            yield row(g.column(0)[0].as_py(), STATE, ids, cells(g, STATE, 1, np.float64), np.empty(0, SCORED), pairs, pairs)
+
+    def both_ways(batches):
+        for b in batches:
+            count = [len(x) // 8 for x in b.column(1).to_pylist()]
+            pairs = np.empty(2 * sum(count), PAIR)
+            u, v = np.repeat(b.column(0).to_numpy(), count), np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
+            pairs["q"], pairs["id"] = np.append(u, v), np.append(v, u)
+            for to, (some,) in split(block_of(pairs["q"], blocks), pairs):
+                yield row(to, LISTED, some)
+
+    def adjacent(batches):
+        for g in groups(batches, 1):
+            pairs = distinct(cells(g, LISTED, 0, PAIR))
+            ids, count = np.unique(pairs["q"], return_counts=True)
+            yield row(g.column(0)[0].as_py(), STATE, ids, count.astype(np.int64), pairs["id"])
+
+    def ask(batches):
+        for b in batches:
+            for go in b.column(6).to_pylist():
+                go = np.frombuffer(go, PAIR)
+                for to, (some,) in split(block_of(go["id"], blocks), go):
+                    yield row(to, SENT, some)
+
+    def expand(batches):
+        for g in groups(batches, 1):
+            ids, count, flat, asked = cells(g, STATE, 0, np.int64), cells(g, STATE, 1, np.int64), cells(g, STATE, 2, np.int64), cells(g, SENT, 0, PAIR)
+            if not len(asked) or not len(ids):
+                continue
+            at = np.minimum(np.searchsorted(ids, asked["id"]), len(ids) - 1)
+            some = np.where(ids[at] == asked["id"], count[at], 0)
+            pairs = np.empty(some.sum(), PAIR)
+            pairs["q"] = np.repeat(asked["q"], some)
+            pairs["id"] = flat[np.repeat((np.cumsum(count) - count)[at] - (np.cumsum(some) - some), some) + np.arange(len(pairs))]
+            pairs = distinct(pairs)
+            for to, (part,) in split(block_of(pairs["q"], blocks), pairs):
+                yield row(to, FOUND, part)
+
+    def wanted(batches):
+        for g in groups(batches, 1):
+            ids, x, seen = cells(g, STATE, 0, np.int64), cells(g, STATE, 1, np.float64), cells(g, STATE, 3, PAIR)
+            new = distinct(cells(g, FOUND, 0, PAIR), seen)
+            if not len(cells(g, STATE, 2, SCORED)):
+                new = np.append(new, seen)  # the first step scores the own nodes, too
+            x = x.reshape(len(ids), width)
+            for to, (some,) in split(block_of(new["id"], blocks), new):
+                who = np.isin(ids, some["q"])
+                yield row(to, SENT, some, ids[who], x[who])
+
+    def score(batches):
+        for g in groups(batches, 1):
+            ids, x, asked = cells(g, STATE, 0, np.int64), cells(g, STATE, 1, np.float64).reshape(-1, width), cells(g, SENT, 0, PAIR)
+            who, first = np.unique(cells(g, SENT, 1, np.int64), return_index=True)
+            y = cells(g, SENT, 2, np.float64).reshape(-1, width)[first]
+            s = np.empty(len(asked))
+            for a in range(0, len(asked), 16384):
+                some = asked[a : a + 16384]
+                s[a : a + 16384] = np.einsum("ij,ij->i", x[np.searchsorted(ids, some["id"])], y[np.searchsorted(who, some["q"])])
+            best = best_of(asked["q"], asked["id"], s, beam)
+            told = np.zeros(len(best), SCORED)
+            told["q"], told["id"], told["s"] = asked["q"][best], asked["id"][best], s[best]
+            for to, (part,) in split(block_of(told["q"], blocks), told):
+                yield row(to, FOUND, part)
+
+    def step(batches):
+        for g in groups(batches, 1):
+            new = cells(g, FOUND, 0, SCORED).copy()
+            new["x"] = new["q"] == new["id"]
+            seen = cells(g, STATE, 3, PAIR)
+            more = np.empty(len(new), PAIR)
+            more["q"], more["id"] = new["q"], new["id"]
+            all_ = np.append(cells(g, STATE, 2, SCORED), new)
+            all_ = all_[best_of(all_["q"], all_["id"], all_["s"], beam)]
+            open_ = np.flatnonzero((ranks(all_["q"]) < settled) & (all_["x"] == 0))
+            go = open_[ranks(all_["q"][open_]) < EXPAND]
+            all_["x"][go] = 1
+            front = np.empty(len(go), PAIR)
+            front["q"], front["id"] = all_["q"][go], all_["id"][go]
+            yield row(g.column(0)[0].as_py(), STATE, cells(g, STATE, 0, np.int64), cells(g, STATE, 1, np.float64), all_, distinct(np.append(seen, more)), front)
+
+    def beams(batches):
+        for b in batches:
+            for some in b.column(4).to_pylist():
+                some = np.frombuffer(some, SCORED)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[c])) for c in ("q", "id", "s")], names=["own", "id", "score"])
+
+    with small_batches(spark, 1024):
+        held = nodes.select("id", "vec").mapInArrow(vectors, PACKED)
+        owns = nodes.select("id", "vec").join(queries.select(F.col("own").alias("id")).distinct(), "id", "left_semi").mapInArrow(vectors, PACKED)
+        held, owns = cut(held, "nn-vecs", blobs=True), cut(owns, "nn-queries", blobs=True)
+        linked = cut(lists.select("id", "nbrs").mapInArrow(both_ways, PACKED), "nn-links", blobs=True)
+    with small_batches(spark, 8):  # rows hold a block, up to a few MB
+        held, graph, state = cut(by_block(held, whole, blocks), "nn-blocks", blobs=True), cut(by_block(linked, adjacent, blocks), "nn-graph", blobs=True), cut(by_block(owns, begin, blocks), "nn-walks", blobs=True)
+        for turn in itertools.count(1):
+            if state.where("octet_length(e) > 0").isEmpty():
+                break  # each step expands a node that a walk hasn't yet, so it comes to that
+            pairs = by_block(graph.unionByName(state.mapInArrow(ask, PACKED)), expand, blocks)
+            asked = by_block(state.unionByName(pairs), wanted, blocks)
+            told = by_block(held.unionByName(asked), score, blocks)
+            old, state = state, cut(by_block(state.unionByName(told), step, blocks), "nn-walks", blobs=True)
+            drop_cut(old)
+            if turn % 3 == 0:
+                release(spark)
+        found = cut(state.mapInArrow(beams, "own long, id long, score double"), "nn-beams")
+    return queries.join(found, "own").select("q", "id", "score")
 
 
 def nearest(table: DataFrame, k: int = 20, every: int = 20) -> DataFrame:

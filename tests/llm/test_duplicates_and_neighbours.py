@@ -142,6 +142,28 @@ def test_triples_meet_every_five_positions():
     assert all(any(set(t) <= set(five) for t in simhash.TRIPLES) for five in combinations(range(8), 5))
 
 
+def test_lists_are_kept_by_block(spark, monkeypatch):
+    """The rows written each round go with the blocks, not with nodes and their meetings; the lists hold the nearest nodes."""
+    written, plain = {}, nn_descent.cut
+
+    def counted(df, name="cut", **more):
+        back = plain(df, name, **more)
+        written.setdefault(name, []).append(back.count())
+        return back
+
+    monkeypatch.setattr(nn_descent, "cut", counted)
+    x = np.random.default_rng(5).standard_normal((700, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    lists, n = nn_descent.build(spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, vec binary"), 16)
+    assert n == 700 and max(written["nn-lists"]) <= 12
+    hit = 0
+    for r in lists.collect():
+        s = x @ x[r["id"]]
+        s[r["id"]] = -np.inf
+        hit += len(set(np.frombuffer(r["nbrs"], np.int64).tolist()) & set(np.argsort(-s)[:16].tolist()))
+    assert hit >= 0.95 * 700 * 16
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((300, 8)).astype(np.float32)
